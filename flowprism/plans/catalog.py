@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowprism.plans import packet_queries  # noqa: F401
+from flowprism.plans import packet_queries, table_queries  # noqa: F401
 from flowprism.plans.registry import ORACLES, QUERIES
 
 

@@ -26,14 +26,18 @@ def ip_arp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.filter_ip_arp(packets(spark, sf_dir))
 
 
+# Moves exact halves off the rounding boundary, where the two engines' last bits may differ.
+NUDGE = 1e-9
+
+
 def rounded(value: Column | str, digits: int = 6) -> Column:
     """Rounded double without a negative zero."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.round(value.cast("double"), digits) + F.lit(0.0)
+    return F.round(value.cast("double") + F.lit(NUDGE), digits) + F.lit(0.0)
 
 
 def R(expression: str, digits: int = 6) -> str:
-    return f"(round(cast({expression} as double), {digits}) + 0.0)"
+    return f"(round(cast({expression} as double) + {NUDGE}, {digits}) + 0.0)"
 
 
 def tidy(df: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
