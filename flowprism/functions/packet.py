@@ -53,12 +53,14 @@ def is_arp() -> Column:
 
 
 def is_proto(number: int) -> Column:
-    return is_ip() & (F.col("proto") == number)
+    """IP packet of a protocol; TCP and UDP only with a readable header (ports known)."""
+    matches = is_ip() & (F.col("proto") == number)
+    return matches & F.col("src_port").isNotNull() if number in (6, 17) else matches
 
 
 def has_flow() -> Column:
-    """TCP and UDP packets belong to a flow."""
-    return is_ip() & F.col("proto").isin(6, 17)
+    """TCP and UDP packets with ports belong to a flow."""
+    return is_ip() & F.col("proto").isin(6, 17) & F.col("src_port").isNotNull()
 
 
 def filter_ip_arp(packets: DataFrame) -> DataFrame:

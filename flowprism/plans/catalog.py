@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowprism.plans import model_queries, packet_queries, table_queries  # noqa: F401
+from flowprism.plans import io_queries, model_queries, packet_queries, table_queries  # noqa: F401
 from flowprism.plans.registry import ORACLES, QUERIES
 
 
