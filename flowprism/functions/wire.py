@@ -9,34 +9,41 @@ ETHERNET_HEADER = 14
 IP_HEADER = 20
 TCP_HEADER = 20
 UDP_HEADER = 8
-VLAN = 0x8100
+VLAN = "8100"
 
 
-def _bytes(frame: Column, start: Column, size: int) -> Column:
-    """``size`` bytes from 0-based ``start``."""
-    return F.substring(frame, start + 1, F.lit(size))
+# Longest header stack read: tagged Ethernet, IP with options, TCP.
+HEADER_BYTES = 18 + 60 + TCP_HEADER
 
 
-def _number(frame: Column, start: Column, size: int) -> Column:
-    return F.conv(F.hex(_bytes(frame, start, size)), 16, 10).cast("int")
+def header_digits(frame: Column) -> Column:
+    """The header bytes as hexadecimal text, made once per frame; fields are cut from it."""
+    return F.hex(F.substring(frame, 1, HEADER_BYTES))
 
 
-def _mac(frame: Column, start: int) -> Column:
-    digits = F.lower(F.hex(_bytes(frame, F.lit(start), 6)))
-    return F.regexp_replace(digits, "(..)(?=.)", "$1:")
+def _digits(header: Column, start: Column | int, size: int) -> Column:
+    """``size`` bytes from 0-based ``start``, as hexadecimal digits."""
+    start = F.lit(start) if isinstance(start, int) else start
+    return F.substring(header, start * 2 + 1, F.lit(size * 2))
 
 
-def _ip(frame: Column, start: Column) -> Column:
-    return F.concat_ws(".", *[_number(frame, start + i, 1).cast("string") for i in range(4)])
+def _number(header: Column, start: Column | int, size: int) -> Column:
+    return F.conv(_digits(header, start, size), 16, 10).cast("int")
+
+
+def _mac(header: Column, start: int) -> Column:
+    return F.regexp_replace(F.lower(_digits(header, start, 6)), "(..)(?=.)", "$1:")
+
+
+def _ip(header: Column, start: Column) -> Column:
+    return F.concat_ws(".", *[F.conv(_digits(header, start + i, 1), 16, 10) for i in range(4)])
 
 
 def is_whole(frame: Column) -> Column:
     """Long enough for the Ethernet header, and for an IP header when it announces one."""
     size = F.coalesce(F.length(frame), F.lit(0))
-    announced = _number(frame, F.lit(12), 2)
-    return (size >= ETHERNET_HEADER) & (
-        F.coalesce(announced != 2048, F.lit(True)) | (size >= ETHERNET_HEADER + IP_HEADER)
-    )
+    announced = F.hex(F.substring(frame, 13, 2))
+    return (size >= ETHERNET_HEADER) & ((announced != "0800") | (size >= ETHERNET_HEADER + IP_HEADER))
 
 
 def drop_malformed(frames: DataFrame) -> DataFrame:
@@ -55,10 +62,11 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     Ports and TCP flags are null when the transport header is missing, cut off or in a
     later fragment. The length of an IP frame leaves out link-layer padding.
     """
-    frame = F.col("frame")
-    size = F.length(frame)
-    tag = F.when(_number(frame, F.lit(12), 2) == VLAN, 4).otherwise(0)
-    staged = drop_malformed(frames).withColumn("_ip", tag + ETHERNET_HEADER)
+    frame = F.col("_header")
+    size = F.length("frame")
+    tag = F.when(_digits(frame, 12, 2) == VLAN, 4).otherwise(0)
+    staged = drop_malformed(frames).withColumn("_header", header_digits(F.col("frame")))
+    staged = staged.withColumn("_ip", tag + ETHERNET_HEADER)
     at = F.col("_ip")
     staged = staged.withColumn("eth_type", _number(frame, at - 2, 2))
     ip = F.col("eth_type") == 2048
@@ -88,7 +96,7 @@ def decode_frames(frames: DataFrame) -> DataFrame:
             "tcp_flags": F.when(readable & (F.col("proto") == 6), _number(frame, l4 + 13, 1)),
             "frame_len": F.when(unpadded, at + F.col("_total")).otherwise(size),
         }
-    ).drop("_ip", "_l4", "_total", "_offset")
+    ).drop("_header", "_ip", "_l4", "_total", "_offset")
 
 
 def _hex(value: Column, digits: int) -> Column:

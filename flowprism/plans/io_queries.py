@@ -27,7 +27,7 @@ from flowprism.plans.packet_queries import (
     tidy,
 )
 from flowprism.plans.registry import query, table
-from flowprism.session import scratch_path
+from flowprism.session import durable, scratch_path
 from flowprism.sources import tables
 from flowprism.sources.packets import packets_from_events
 from flowprism.streaming import pipeline
@@ -57,7 +57,8 @@ def _wire_columns(decoded: DataFrame) -> DataFrame:
 
 
 def raw_frames(spark, sf) -> DataFrame:
-    return wire.encode_frames(ip_arp(spark, sf)).select("seq", "frame")
+    """Frames as a stored table, which is what decoding reads."""
+    return durable(wire.encode_frames(ip_arp(spark, sf)).select("seq", "frame"))
 
 
 @query("decode_frames", f"{WITH} {_DECODED}")
