@@ -60,35 +60,35 @@ def exact_quantiles(values: DataFrame, probs: Sequence[float], parts: int | None
     totals = placed.groupBy("key", "bucket").agg(F.sum("n").alias("n"), F.first("rows").alias("rows"))
     along = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("start", F.coalesce(F.sum("n").over(along), F.lit(0)))
-    wanted = F.array(
-        *[F.struct(F.lit(i).alias("idx"), (F.lit(float(p)) * (F.col("rows") - 1)).alias("at")) for i, p in enumerate(probs)]
+    # Wanted positions: the two neighbours of prob * (rows - 1).
+    at = F.transform(F.lit([float(p) for p in probs]), lambda p, i: F.struct(i.alias("idx"), (p * (F.col("rows") - 1)).alias("at")))
+    inside = F.filter(
+        at, lambda w: (F.ceil(w["at"]) >= F.col("start")) & (F.floor(w["at"]) < F.col("start") + F.col("n"))
     )
-    ends = F.flatten(
-        F.transform(
-            wanted,
-            lambda w: F.array(
-                F.struct(w["idx"].alias("idx"), w["at"].alias("at"), F.floor(w["at"]).alias("pos")),
-                F.struct(w["idx"].alias("idx"), w["at"].alias("at"), F.ceil(w["at"]).alias("pos")),
-            ),
-        )
+    needed = totals.withColumn("wanted", inside).where(F.size("wanted") > 0)
+    position = F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at"))))
+    positions = (
+        needed.select("key", "bucket", "start", "n", F.explode("wanted").alias("w"))
+        .select("key", "bucket", "start", "n", "w.idx", "w.at", position.alias("coord"))
+        .where((F.col("coord") >= F.col("start")) & (F.col("coord") < F.col("start") + F.col("n")))
+        .select("key", "bucket", "coord", "idx", "at", F.lit(None).cast("double").alias("value"))
     )
-    here = F.filter(ends, lambda e: (e["pos"] >= F.col("start")) & (e["pos"] < F.col("start") + F.col("n")))
-    needed = totals.withColumn("wanted", here).where(F.size("wanted") > 0).select("key", "bucket", "start", "wanted")
-    inside = Window.partitionBy("key", "bucket").orderBy("value")
-    upto = F.col("start") + F.sum("n").over(inside)
-    ordered = placed.select("key", "bucket", "value", "n").join(needed, ["key", "bucket"]).withColumn("upto", upto)
-    hits = ordered.select(
-        "key",
-        "value",
-        F.explode(
-            F.filter("wanted", lambda e: (e["pos"] < F.col("upto")) & (e["pos"] >= F.col("upto") - F.col("n")))
-        ).alias("e"),
-    )
-    low, high = F.min("value"), F.max("value")
-    fraction = F.first("e.at") - F.floor(F.first("e.at"))
-    prob_of = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("idx") + 1)
+    by_value = Window.partitionBy("key", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    first_place = F.col("start") + F.coalesce(F.sum("n").over(by_value), F.lit(0))
+    ordered = placed.select("key", "bucket", "value", "n").join(needed.select("key", "bucket", "start"), ["key", "bucket"])
+    places = ordered.select(
+        "key", "bucket", first_place.alias("coord"), F.lit(None).cast("int").alias("idx"),
+        F.lit(None).cast("double").alias("at"), F.col("value").cast("double").alias("value"),
+    )
+    # A position takes the last value whose first place is not after it.
+    along_places = Window.partitionBy("key", "bucket").orderBy("coord", F.col("idx").asc_nulls_first())
+    hits = places.unionByName(positions).withColumn("found", F.last("value", ignorenulls=True).over(along_places))
+    low, high = F.min("found"), F.max("found")
+    fraction = F.first("at") - F.floor(F.first("at"))
+    prob_of = F.element_at(F.lit([float(p) for p in probs]), F.col("idx") + 1)
     return (
-        hits.groupBy("key", F.col("e.idx").alias("idx"))
+        hits.where(F.col("idx").isNotNull())
+        .groupBy("key", "idx")
         .agg((low + (high - low) * fraction).alias("quantile"))
         .select("key", "idx", prob_of.alias("prob"), "quantile")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Same statement for both engines; only the epoch and JSON calls differ.
+# Same statement for both engines; only the epoch call and the JSON source differ.
 _TEMPLATE = """
 select seq, batch_id, day_id, ts_us, eth_type,
   case when rev = 1 then smac else cmac end as src_mac,
@@ -34,18 +34,19 @@ from (select event_id as seq,
   case when k % 2 = 0 then 64 else 128 end as ttl,
   60 + cast(floor(value) as int) as frame_len,
   (k * 37) % 256 as flags
-  from (select event_id, ts, user_id, event_type, value, {k} as k from {events}) e) p
+  from {source} e) p
 """
 
 SPARK_SQL = _TEMPLATE.format(
     us="unix_micros(cast(ts as timestamp))",
-    k="cast(get_json_object(props, '$.k') as int)",
-    events="{events}",
+    # The one-element explode parses the JSON once per row: filters on the derived
+    # columns stay above it instead of repeating the parse.
+    source="""(select event_id, ts, user_id, event_type, value, parsed.k from {events}
+      lateral view explode(array(cast(get_json_object(props, '$.k') as int))) parsed as k)""",
 )
 ORACLE_SQL = _TEMPLATE.format(
     us="epoch_us(ts)",
-    k="cast(json_extract_string(props, '$.k') as int)",
-    events="events",
+    source="(select event_id, ts, user_id, event_type, value, cast(json_extract_string(props, '$.k') as int) as k from events)",
 )
 # Oracle statements start with this and read ``frames`` (IP and ARP only) or ``packets``.
 ORACLE_WITH = f"with packets as ({ORACLE_SQL}), frames as (select * from packets where eth_type in (2048, 2054))"
