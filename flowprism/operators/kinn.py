@@ -84,11 +84,10 @@ def fit_lists(nodes: DataFrame, steps: int, kernel: str = "linear", kind: str =
 def cluster_class_map(clusters: DataFrame, classes: DataFrame) -> DataFrame:
     """Class of each cluster (its first member's) and how many members disagree."""
     members = clusters.join(classes.select("id", "class"), "id")
-    first = members.groupBy("cluster").agg(F.min_by("class", "id").alias("first"))
-    return (
-        members.join(first, "cluster")
-        .groupBy("cluster")
-        .agg(F.min("first").alias("class"), F.count_if(F.col("class") != F.col("first")).alias("conflicts"))
+    # Counted per class first, so a giant cluster is a few rows.
+    counts = members.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    return counts.groupBy("cluster").agg(
+        F.min_by("class", "first").alias("class"), (F.sum("n") - F.min_by("n", "first")).alias("conflicts")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowprism.operators.neighbours import neighbours
 from flowprism.operators.numbering import exact_quantiles
+from flowprism.session import broadcast_if_small, durable
 
 NEIGHBOURS = 20
 TINY = 1e-10
@@ -48,7 +49,8 @@ def lof_outlier_filter(rows: DataFrame, keep_all, k: int = NEIGHBOURS, share: fl
     leaves when its factor is strictly above it.
     """
     tested = rows.where(F.col("grp") != keep_all)
-    scores = tested.join(lof_scores(tested, k, **options).withColumnRenamed("i", "id"), "id")
+    scores = durable(tested.join(lof_scores(tested, k, **options).withColumnRenamed("i", "id"), "id"))
     cut = exact_quantiles(scores.select(F.col("grp").alias("key"), (-F.col("lof")).alias("value")), [share])
-    kept = scores.join(cut.select(F.col("key").alias("grp"), "quantile"), "grp").where(-F.col("lof") >= F.col("quantile"))
+    cut = broadcast_if_small(durable(cut.select(F.col("key").alias("grp"), "quantile")))
+    kept = scores.join(cut, "grp").where(-F.col("lof") >= F.col("quantile"))
     return rows.where(F.col("grp") == keep_all).unionByName(kept.select(*rows.columns))

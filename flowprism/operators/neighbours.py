@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowprism.functions.kernels import block_distances, to_metric
-from flowprism.session import durable
+from flowprism.session import broadcast_if_small, durable
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
@@ -95,7 +95,8 @@ def _blocked(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Split every (grp, cell) into hashed blocks of about ``block_rows`` rows."""
     sizes = rows.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.select("grp", "cell", F.ceil(F.col("n") / block_rows).cast("int").alias("parts"))
-    # Cells are at most MAX_PIVOTS per group, far fewer than rows.
+    # At most MAX_PIVOTS cells per group: rows of a hot cell stay where they are.
+    sizes = broadcast_if_small(durable(sizes))
     blocked = rows.join(sizes, ["grp", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     blocked = blocked.drop("parts")
     return blocked, blocked.groupBy("grp", "cell", "sub").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowprism.operators.ordered import BLOCK_BITS, block_of
+from flowprism.session import broadcast_if_small, durable
 
 
 def number_rows(rows: DataFrame, row_id: str, name: str, first: Sequence[str] = (), bits: int = BLOCK_BITS) -> DataFrame:
@@ -48,13 +49,10 @@ def exact_quantiles(values: DataFrame, probs: Sequence[float], parts: int | None
     if parts is None:
         largest = values.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         parts = int(min(4096, max(16, largest // 1_000_000)))
-    # A bounded model: at most ``parts`` numbers per key, fixed before the exact pass.
-    cut_rows = _splitters(values, parts).collect()
-    schema = "key {}, rows bigint, cuts array<double>".format(values.schema["key"].dataType.simpleString())
-    cuts = values.sparkSession.createDataFrame([(r["key"], r["rows"], [float(c) for c in r["cuts"]]) for r in cut_rows], schema)
-
+    # Fixed before the exact pass, so both passes see the same cuts.
+    cuts = broadcast_if_small(durable(_splitters(values, parts)), max_rows=10_000)
     counts = values.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = counts.join(F.broadcast(cuts), "key").withColumn(
+    placed = counts.join(cuts, "key").withColumn(
         "bucket", F.size(F.filter("cuts", lambda cut: cut < F.col("value")))
     )
     totals = placed.groupBy("key", "bucket").agg(F.sum("n").alias("n"), F.first("rows").alias("rows"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowprism.session import broadcast_if_small, durable
+
 
 def fit_labels(rows: DataFrame, label: str = "label", code: str = "code") -> DataFrame:
     """Sorted distinct labels with codes 0..n-1 (one row per class)."""
@@ -14,11 +16,11 @@ def fit_labels(rows: DataFrame, label: str = "label", code: str = "code") -> Dat
 
 
 def encode_labels(rows: DataFrame, encoder: DataFrame, label: str = "label", code: str = "code") -> DataFrame:
-    return rows.join(encoder.select(label, code), label)
+    return rows.join(broadcast_if_small(encoder.select(label, code)), label)
 
 
 def decode_labels(rows: DataFrame, encoder: DataFrame, label: str = "label", code: str = "code") -> DataFrame:
-    return rows.join(encoder.select(code, label), code)
+    return rows.join(broadcast_if_small(encoder.select(code, label)), code)
 
 
 def hash_key(seed: int, *ids: str) -> Column:
@@ -46,7 +48,8 @@ def stratified_split(
         .where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
         .select(label, F.col("_bucket").alias("_cut"), (F.col("want") - F.col("upto") + F.col("n")).alias("_need"))
     )
-    placed = keyed.join(cut, label, "left")
+    # One row per class: rows of a hot class are not shuffled to meet their cut.
+    placed = keyed.join(broadcast_if_small(durable(cut)), label, "left")
     at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
     clear = placed.where(~at_cut).withColumn("is_test", F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False)))
     in_class = Window.partitionBy(label).orderBy("_key", row_id)

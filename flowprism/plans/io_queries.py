@@ -75,12 +75,12 @@ def drop_malformed(spark, sf):
 
 @query("src_captures", f"{WITH} select day_id, count(*) as frames, cast(sum(frame_len) as bigint) as bytes from frames group by day_id")
 def src_captures(spark, sf):
-    """Frames are written as one capture file per day, then read back."""
+    """Frames are written as rotated capture files of each day, then read back."""
     from flowprism.sources.captures import read_packets
 
     path = scratch_path(spark, "captures")
     write_captures(wire.encode_frames(ip_arp(spark, sf)), path)
-    name = F.regexp_extract("capture_id", "([0-9]+)", 1).cast("bigint")
+    name = F.regexp_extract("capture_id", "day-([0-9]+)", 1).cast("bigint")
     return (
         read_packets(spark, path, "*.pcap")
         .groupBy(name.alias("day_id"))
@@ -89,7 +89,7 @@ def src_captures(spark, sf):
 
 
 def write_captures(frames: DataFrame, path: str) -> None:
-    """One file per day_id, written by the tasks in frame order."""
+    """Rotated files (day, 65,536 frame numbers each), written by the tasks in frame order."""
     import struct
 
     def save(batches):
@@ -100,11 +100,12 @@ def write_captures(frames: DataFrame, path: str) -> None:
         system.create_dir(root)
         out, current, total = None, None, 0
         for batch in batches:
-            for day, ts_us, frame in zip(batch["day_id"], batch["ts_us"], batch["frame"], strict=True):
-                if day != current:
+            names = "day-" + batch["day_id"].astype(str) + "-part-" + batch["part"].astype(str)
+            for name, ts_us, frame in zip(names, batch["ts_us"], batch["frame"], strict=True):
+                if name != current:
                     if out is not None:
                         out.close()
-                    out, current = system.open_output_stream(f"{root}/day-{day}.pcap"), day
+                    out, current = system.open_output_stream(f"{root}/{name}.pcap"), name
                     out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
                 out.write(struct.pack("<IIII", ts_us // 1_000_000, ts_us % 1_000_000, len(frame), len(frame)) + bytes(frame))
                 total += 1
@@ -112,7 +113,8 @@ def write_captures(frames: DataFrame, path: str) -> None:
             out.close()
         yield pd.DataFrame({"n": [total]})
 
-    sorted_frames = frames.select("day_id", "seq", "ts_us", "frame").repartition("day_id").sortWithinPartitions("day_id", "seq")
+    parts = frames.select("day_id", F.shiftright("seq", 16).alias("part"), "seq", "ts_us", "frame")
+    sorted_frames = parts.repartition("day_id", "part").sortWithinPartitions("day_id", "part", "seq")
     sorted_frames.mapInPandas(save, "n bigint").agg(F.sum("n")).collect()
 
 
