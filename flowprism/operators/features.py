@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowprism.functions import packet as P
 from flowprism.operators.flows import FLAG_COUNTERS, rate_carry_forward, seconds, with_flow_features
 from flowprism.operators.frames import direction_fold, frame20_stats, two_stream_stats, with_frame_group
-from flowprism.operators.ordered import BLOCK_BITS, running
+from flowprism.operators.ordered import BLOCK_BITS, earlier_rates, running
 
 # The feature names in output order (spelling kept).
 _HEAD = [
@@ -61,8 +61,10 @@ def extract_features(
     if mode not in ("batch", "realtime"):
         raise ValueError(f"unknown mode {mode!r}")
     live = mode == "realtime"
-    frames = running(P.filter_ip_arp(packets), scope, ["scope", "flow"], bounded=live, block_bits=block_bits)
-    frames = rate_carry_forward(with_flow_features(frames), scope, bounded=live, carry=not live)
+    packets = P.filter_ip_arp(packets)
+    frames = running(packets, scope, ["scope", "flow"], bounded=live, block_bits=block_bits)
+    earlier = None if live else earlier_rates(packets, scope, block_bits)
+    frames = rate_carry_forward(with_flow_features(frames), scope, earlier)
     frames = with_frame_group(frames)
     frames = direction_fold(frames, scope, arp_moves=not live)
     frames = two_stream_stats(frame20_stats(frames, scope), scope)

@@ -167,8 +167,11 @@ def flow_running(packets: DataFrame, scope: str, *, bounded: bool = False, block
     return with_flow_features(frames).where(has_flow())
 
 
-def rate_carry_forward(frames: DataFrame, scope: str, *, bounded: bool = False, carry: bool = True) -> DataFrame:
-    """Rate, Srate, Drate: the last known rates persist (batch) or fall to 0 (real time).
+def rate_carry_forward(frames: DataFrame, scope: str, earlier: DataFrame | None = None) -> DataFrame:
+    """Rate, Srate, Drate of frames with flow features.
+
+    With ``earlier`` (see ``earlier_rates``) the last known rates persist, as in batch
+    mode; without it they fall to 0 on rows that have none, as in real time.
 
     Rates exist once a flow has a duration. Keys are sorted, so all packets of a flow
     count as source-to-destination; the reverse direction only exists when both
@@ -181,9 +184,9 @@ def rate_carry_forward(frames: DataFrame, scope: str, *, bounded: bool = False,
         {"_rate": n / duration, "_drate": F.when(duration.isNotNull(), F.when(same_end, n / duration).otherwise(0.0))}
     )
     rate, drate = "_rate", "_drate"
-    if carry:
+    if earlier is not None:
         rate, drate = "_kept_rate", "_kept_drate"
-        rated = carry_last(rated, scope, {"_rate": rate, "_drate": drate}, bounded=bounded)
+        rated = carry_last(rated, scope, {"_rate": rate, "_drate": drate}, earlier)
     zero = F.lit(0.0)
     return rated.withColumns(
         {"Rate": F.coalesce(rate, zero), "Srate": F.coalesce(rate, zero), "Drate": F.coalesce(drate, zero)}

@@ -197,21 +197,60 @@ def running(
     return out.where(F.col(_FRAME) == 1).drop(*internal)
 
 
-def carry_last(frames: DataFrame, scope: str, values: dict[str, str], *, bounded: bool) -> DataFrame:
-    """Forward fill: for each ``source -> name``, the last non-null source up to each row."""
-    if bounded:
-        run = _upto(Window.partitionBy(scope).orderBy("seq"))
-        return frames.withColumns({name: F.last(c, ignorenulls=True).over(run) for c, name in values.items()})
-    run = _upto(Window.partitionBy(scope, "_blk").orderBy("seq"))
+def earlier_rates(packets: DataFrame, scope: str, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """``_carry_rate, _carry_drate``: the last known rates before each (scope, block).
+
+    A flow's duration never shrinks, so the last packet with a rate in a block is the
+    last packet of some flow there. Aggregates per (flow, block) are enough to know it;
+    no packet is windowed for this.
+    """
+    keys = [scope, *FLOW_KEY]
+    frames = with_flow_key(packets).withColumn("_blk", block_of("seq", block_bits))
+    so_far = _upto(Window.partitionBy(*keys).orderBy("_blk"))
+    blocks = (
+        frames.where(has_flow())
+        .groupBy(*keys, "_blk")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("ts_us").alias("lo"),
+            F.max("ts_us").alias("hi"),
+            F.max("seq").alias("at"),
+        )
+        .select(
+            *keys,
+            "_blk",
+            "at",
+            F.sum("n").over(so_far).cast("double").alias("n"),
+            ((F.max("hi").over(so_far) - F.min("lo").over(so_far)).cast("double") / 1e6).alias("duration"),
+        )
+        .where(F.col("duration") > 0)
+    )
+    same_end = (F.col("a_ip") == F.col("b_ip")) & (F.col("a_port") == F.col("b_port"))
+    rate = F.col("n") / F.col("duration")
+    last = blocks.groupBy(scope, "_blk").agg(
+        F.max_by(rate, F.col("at")).alias("rate"),
+        F.max_by(F.when(same_end, rate).otherwise(0.0), F.col("at")).alias("drate"),
+    )
+    # Blocks without a rate take part, so the value reaches them too.
+    every = frames.groupBy(scope, "_blk").agg(F.count(F.lit(1)).alias("rows"))
     past = _before(Window.partitionBy(scope).orderBy("_blk"))
-    earlier = (
-        frames.groupBy(scope, "_blk")
-        .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in values])
-        .select(scope, "_blk", *[F.last(c, ignorenulls=True).over(past).alias(f"_carry_{c}") for c in values])
+    return every.join(last, [scope, "_blk"], "left").select(
+        scope,
+        "_blk",
+        F.last("rate", ignorenulls=True).over(past).alias("_carry_rate"),
+        F.last("drate", ignorenulls=True).over(past).alias("_carry_drate"),
     )
-    local = frames.withColumns({f"_local_{c}": F.last(c, ignorenulls=True).over(run) for c in values})
+
+
+def carry_last(frames: DataFrame, scope: str, values: dict[str, str], earlier: DataFrame) -> DataFrame:
+    """Forward fill: for each ``source -> name``, the last non-null source up to each row.
+
+    ``earlier`` holds ``_carry<source>`` per (scope, block): the value known before it.
+    """
+    run = _upto(Window.partitionBy(scope, "_blk").orderBy("seq"))
+    local = frames.withColumns({f"_local{c}": F.last(c, ignorenulls=True).over(run) for c in values})
     return (
         local.join(earlier, [scope, "_blk"], "left")
-        .withColumns({name: F.coalesce(f"_local_{c}", f"_carry_{c}") for c, name in values.items()})
-        .drop(*[f"{side}_{c}" for c in values for side in ("_local", "_carry")])
+        .withColumns({name: F.coalesce(f"_local{c}", f"_carry{c}") for c, name in values.items()})
+        .drop(*[f"{side}{c}" for c in values for side in ("_local", "_carry")])
     )

@@ -10,7 +10,7 @@ from flowprism.functions import events as E
 from flowprism.functions import labels as L
 from flowprism.functions import packet as P
 from flowprism.operators import features, flows, frames
-from flowprism.operators.ordered import running
+from flowprism.operators.ordered import earlier_rates, running
 from flowprism.plans.registry import query, table
 from flowprism.sources.packets import ORACLE_WITH, packets_from_events
 
@@ -512,8 +512,9 @@ def two_stream_cov_corr(spark, sf):
 
 @query("rate_carry_forward", _feature_sql("day_id", False, ["Rate", "Srate", "Drate"]))
 def rate_carry_forward(spark, sf):
-    state = flows.with_flow_features(running(ip_arp(spark, sf), "day_id", ["flow"]))
-    return tidy(flows.rate_carry_forward(state, "day_id").select("day_id", "seq", "Rate", "Srate", "Drate"))
+    rows = ip_arp(spark, sf)
+    state = flows.with_flow_features(running(rows, "day_id", ["flow"]))
+    return tidy(flows.rate_carry_forward(state, "day_id", earlier_rates(rows, "day_id")).select("day_id", "seq", "Rate", "Srate", "Drate"))
 
 
 _DIGITS = _FLOW_DIGITS
