@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowprism.functions.wire import decode_frames
 
@@ -83,7 +82,3 @@ def write_capture(frames: list[tuple[int, bytes]], path: str) -> None:
         for ts_us, frame in frames:
             out.write(struct.pack("<IIII", ts_us // 1_000_000, ts_us % 1_000_000, len(frame), len(frame)))
             out.write(frame)
-
-
-def scope_of_capture(packets: DataFrame) -> DataFrame:
-    return packets.withColumn("scope", F.col("capture_id"))
