@@ -7,26 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowprism.operators.ordered import BLOCK_BITS, block_of
-from flowprism.session import broadcast_if_small, durable
+from flowprism.session import broadcast_if_small, durable, stored
 
 
-def number_rows(rows: DataFrame, row_id: str, name: str, first: Sequence[str] = (), bits: int = BLOCK_BITS) -> DataFrame:
-    """Add 0-based ``name`` in the order (first..., row_id); ``row_id`` is an integer.
+def rank_rows(rows: DataFrame, order: Sequence[str], name: str) -> tuple[DataFrame, int]:
+    """``rows`` with 0-based ``name`` in the given order, and the number of rows.
 
-    Only the counts per block of ids meet in one window; rows are numbered per block.
+    Rows are dealt into ranges and sorted there; what earlier ranges hold is added from their counts.
+    A hot value is split as long as later columns of ``order`` differ. Ties get different ranks.
     """
-    keys = [*first, "_blk"]
-    blocked = rows.withColumn("_blk", block_of(row_id, bits))
-    everything = Window.partitionBy(F.lit(0)).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    starts = starts.select(*keys, F.coalesce(F.sum("n").over(everything), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys).orderBy(row_id)
-    return (
-        blocked.join(starts, keys)
-        .withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_blk", "_start")
-    )
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The low 33 bits of this id are the row's place in its partition.
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(dealt.withColumns({"_part": F.spark_partition_id(), "_at": inside}), "ranks")
+    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    before = rows.sparkSession.createDataFrame(starts, "_part int, _start bigint")
+    ranked = placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_start") + F.col("_at"))
+    return ranked.drop("_part", "_at", "_start"), total
+
+
+def number_rows(rows: DataFrame, row_id: str, name: str, first: Sequence[str] = ()) -> DataFrame:
+    """Add 0-based ``name`` in the order (first..., row_id), whatever the spread of the ids."""
+    return rank_rows(rows, [*first, row_id], name)[0]
 
 
 def _splitters(values: DataFrame, parts: int) -> DataFrame:
