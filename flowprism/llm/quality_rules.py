@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowprism.llm import texts as T
-from flowprism.session import durable
+from flowprism.session import stored
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: A rule rejects when its value is above the cutoff; values are shares of words or characters.
@@ -173,7 +173,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, allowed: float = 0.05, confiden
     points = values.select("stratum", "rule", F.size(F.filter(grid, lambda g: F.col("value") > g)).alias("below"))
     counts = points.groupBy("stratum", "rule", "below").agg(F.count("*").alias("n"))
     per_rule = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n_good"), F.collect_list(F.struct("below", "n")).alias("bins"))
-    per_rule = durable(per_rule)
+    per_rule = stored(per_rule)
     sizes = [r[0] for r in per_rule.select("n_good").distinct().limit(100_001).collect()]
     if len(sizes) > 100_000:
         raise ValueError("over 100,000 different stratum sizes: use a coarser stratum")
@@ -201,7 +201,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", allow
     A document fails the base when it has under 10 words or over a fifth of its words in repeated windows.
     Strata without enough good labels get no cutoff and lose nothing to the rules.
     """
-    stats = durable(statistics(docs, stratum))
+    stats = stored(statistics(docs, stratum))
     chosen = cutoffs(stats, labels, allowed, confidence)
     per_stratum = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
     joined = stats.join(F.broadcast(per_stratum) if per_stratum.limit(10_001).count() <= 10_000 else per_stratum, stats["stratum"].eqNullSafe(per_stratum["stratum"]), "left")
