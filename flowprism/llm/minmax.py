@@ -2,15 +2,19 @@
 
 A document's set holds its distinct word shingles, lower-cased (ASCII). Each of ``PERMUTATIONS`` hash
 functions gives both the minimum and the maximum over the set, so half as many evaluations fill a signature;
-two functions make a band of four values, and documents equal in a band become candidates. Documents with
-equal sets are one class and travel as one representative. In every bucket the members are compared with a
-leader, not with each other: links inside a component need no further proof. Leaders whose comparisons are
-done leave the bucket, and rounds go on with new leaders, more each time, until no bucket holds members of
-two components; so no pair of different components that shares a bucket stays uncompared.
+three functions make a band of six values, and documents equal in a band become candidates. Documents with
+equal sets are one class and travel as one representative, and buckets with the same members are one bucket.
 
-Candidates of sizes that cannot reach the threshold are dropped exactly; those whose signatures agree in
-under ``FLOOR`` of their positions (eight standard deviations below the threshold) are not confirmed.
-A pair at the threshold shares no band with probability (1 - 0.8^4)^32, about 5e-8.
+1. In every bucket the members are compared with a leader, the one that meets most others over all its
+   buckets, not with each other. Components of these links close most buckets.
+2. A bucket that still holds several components is compared whole, in blocks of about ``BLOCK`` members: a
+   task gets the texts of two blocks, counts all intersections at once and returns only links that join
+   components. So every pair of different components that shares a bucket is compared on full sets.
+
+For leaders, candidates of sizes that cannot reach the threshold are dropped exactly, and those whose
+signatures agree in under ``FLOOR`` of their positions (eight standard deviations below the threshold) are
+not confirmed; should such a pair be a link, step 2 still finds it. A pair at the threshold shares no band with probability
+(1 - 0.8^6)^42, about 3e-6.
 
 Null or wordless texts have the empty set and are linked with nothing. Rows with a null id are kept
 unlinked. A repeated id counts as one document with the rows' sets each in its class; all its rows stay.
@@ -24,17 +28,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowprism.llm import texts as T
 from flowprism.operators.components import connected_components
 from flowprism.session import stored
 
-PERMUTATIONS = 64
-BANDS = 32
-FLOOR = 0.5
-FIRST_LEADERS = 4
+PERMUTATIONS = 126
+BANDS = 42
+FLOOR = 0.6
+BLOCK = 256
+COLUMNS = 4096
 
 _RNG = np.random.Generator(np.random.PCG64(11))
 _A = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * T.U(2) + T.U(1)
@@ -74,8 +79,9 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Documents x functions to documents x bands."""
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(low), BANDS))
-    for part in (low[:, ::2], high[:, ::2], low[:, 1::2], high[:, 1::2]):
-        key = T.mix(key + part)
+    step = PERMUTATIONS // BANDS
+    for i in range(step):
+        key = T.mix(T.mix(key + low[:, i::step]) + high[:, i::step])
     return key
 
 
@@ -133,79 +139,142 @@ def _confirm_batches(width: int, percent: int):
     return run
 
 
+def block_links(roots: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Index pairs that link different components, enough to join all that the rows' links join.
+
+    Rows of two different sides are compared with each other; with one side only, all with all.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    common = times[column] > 1
+    row, column = row[common], (np.cumsum(times > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [low, low + COLUMNS])
+        table = np.zeros((n, COLUMNS), np.float32)
+        table[row[i:j], column[i:j] - low] = 1
+        shared += table @ table.T
+    shared = shared.astype(np.int64)
+    root, side = np.array(roots), np.array(sides)
+    linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+    linked &= root[:, None] != root[None, :]
+    if len(set(sides)) > 1:
+        linked &= side[:, None] != side[None, :]
+    above = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while above[r] != r:
+            above[r] = above[above[r]]
+            r = above[r]
+        return r
+
+    out = []
+    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+        a, b = top(roots[i]), top(roots[j])
+        if a != b:
+            above[a] = b
+            out.append((i, j))
+    return out
+
+
+def _block_batches(width: int, percent: int):
+    """Rows come sorted by block pair: key, p, q, side, class_id, root, text."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        if len({r[5] for r in rows}) > 1:
+            sets = [s for chunk in T.chunks(pa.array([r[6] for r in rows], pa.large_string())) for s in shingle_sets(chunk, width)]
+            for i, j in block_links([r[5] for r in rows], [r[3] for r in rows], sets, percent):
+                yield rows[i][4], rows[j][4]
+
+    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            found = []
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if values[:3] != group:
+                    found += links(rows)
+                    group, rows = values[:3], []
+                rows.append(values)
+            yield batch_of(found)
+        yield batch_of(list(links(rows)))
+
+    return run
+
+
 class NearDuplicates:
-    """The state of one search: sketches, classes, buckets and links, stored in the shared folder."""
+    """The state of one search: sketches, classes, buckets and texts, stored in the shared folder."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.width, self.percent = width, percent
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.sketches = stored(self.docs.mapInArrow(_sketch_batches(width), SKETCH_SCHEMA), "sketches")
+        docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.sketches = stored(docs.mapInArrow(_sketch_batches(width), SKETCH_SCHEMA), "sketches")
         sets = self.sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         self.set_key = ["n_shingles", "set_a", "set_b"]
-        classes = sets.groupBy(*self.set_key).agg(F.min("doc_id").alias("class_id"))
-        # Signatures are those of the representative's row; equal sets have equal ones.
-        self.classes = stored(
-            sets.join(classes.withColumnRenamed("class_id", "doc_id"), [*self.set_key, "doc_id"]).dropDuplicates([*self.set_key])
-            .select(F.col("doc_id").alias("class_id"), *self.set_key, "bands", "signature"), "classes",
-        )
-        rows = self.classes.select(F.explode("bands").alias("key"), "class_id", F.col("n_shingles").alias("n"))
-        shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-        self.buckets = stored(rows.join(shared, "key"), "buckets")
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs ``a, b`` (classes with their sizes), those whose full sets are alike enough."""
-        low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-        pairs = pairs.where(100 * low >= self.percent * high).select("a", "b").distinct()
-        marks = self.classes.select("class_id", "signature")
-        pairs = pairs.join(marks.select(F.col("class_id").alias("a"), F.col("signature").alias("s_a")), "a")
-        pairs = pairs.join(marks.select(F.col("class_id").alias("b"), F.col("signature").alias("s_b")), "b")
+        # Equal sets have equal bands and signatures.
+        grouped = sets.groupBy(*self.set_key)
+        self.classes = stored(grouped.agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
+        rows = self.classes.select(F.explode("bands").alias("key"), "class_id")
+        shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *(F.sum(F.xxhash64("class_id", F.lit(s)).bitwiseAND(F.lit((1 << 31) - 1))).alias(f"h{s}") for s in (1, 2)))
+        shared = shared.where("m > 1").groupBy("m", "h1", "h2").agg(F.min("key").alias("key"))
+        rows = stored(rows.join(shared.select("key", "m"), "key"), "buckets")
+        # How many others a class meets over all its buckets: copies of one text meet it most.
+        met = rows.groupBy("class_id").agg(F.sum("m").alias("met"))
+        met = stored(met.join(self.classes.select("class_id", F.col("n_shingles").alias("n"), "signature"), "class_id"), "members")
+        self.members = met
+        self.buckets = stored(rows.join(met.select("class_id", "met", "n"), "class_id").select("key", "class_id", "m", "met", "n"), "buckets")
+        found = docs.join(met.select(F.col("class_id").alias("doc_id")), "doc_id")
+        # A repeated id has one row per text; any of its class serves.
+        self.texts = stored(found.select(F.col("doc_id").alias("class_id"), "text"), "texts")
+
+    def against_leaders(self) -> DataFrame:
+        """Links ``a, b`` between the leaders of the buckets and their members."""
+        best = self.buckets.groupBy("key").agg(F.max(F.struct("met", (-F.col("class_id")).alias("c"), "n")).alias("l"))
+        leaders = best.select("key", (-F.col("l.c")).alias("b"), F.col("l.n").alias("n_b"))
+        pairs = self.buckets.join(leaders, "key").where(F.col("class_id") != F.col("b"))
+        low, high = F.least("n", "n_b"), F.greatest("n", "n_b")
+        pairs = pairs.where(100 * low >= self.percent * high).select(F.col("b").alias("a"), F.col("class_id").alias("b")).distinct()
+        for end in "ab":
+            pairs = pairs.join(self.members.select(F.col("class_id").alias(end), F.col("signature").alias(f"s_{end}")), end)
         pairs = stored(pairs.where(_agreement("s_a", "s_b") >= FLOOR).select("a", "b"), "candidates")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = stored(self.docs.join(wanted, "doc_id"), "texts")
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+        for end in "ba":
+            pairs = pairs.join(self.texts.select(F.col("class_id").alias(end), F.col("text").alias(f"text_{end}")), end)
+        both = pairs.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         return stored(both.mapInArrow(_confirm_batches(self.width, self.percent), "a bigint, b bigint").distinct(), "links")
 
+    def inside_buckets(self, roots: DataFrame) -> DataFrame:
+        """Links that join components within a bucket, from comparing its blocks with each other."""
+        placed = self.buckets.select("key", "m", "class_id").join(roots, "class_id")
+        several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+        rows = placed.join(several, "key")
+        blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("class_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("own").alias("side"), "class_id", "root")
+        rows = rows.join(self.texts, "class_id").select("key", "p", "q", "side", "class_id", "root", "text")
+        rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+        return stored(rows.mapInArrow(_block_batches(self.width, self.percent), "a bigint, b bigint").distinct(), "links")
+
     def components(self) -> DataFrame:
         """``class_id, component_id`` for every class in a bucket."""
-        buckets = self.buckets
-        leaders = buckets.groupBy("key").agg(F.min(F.struct("class_id", "n")).alias("l"))
-        leaders = leaders.select("key", F.col("l.class_id").alias("leader"), F.col("l.n").alias("n_a"))
-        links = self.confirm(self._against(buckets, leaders))
-        count = FIRST_LEADERS
-        while True:
-            roots = self._roots(links)
-            buckets = stored(buckets.join(leaders.select("key", F.col("leader").alias("class_id")), ["key", "class_id"], "left_anti"), "buckets")
-            placed = buckets.join(roots, "class_id").select("key", "class_id", "n", "root")
-            split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-            open_rows = stored(placed.join(split.select("key", "low"), "key"), "open")
-            # New leaders come from outside the component of the bucket's smallest root.
-            order = Window.partitionBy("key").orderBy("class_id")
-            odd = open_rows.where(F.col("root") != F.col("low")).withColumn("r", F.row_number().over(order))
-            leaders = stored(odd.where(F.col("r") <= count).select("key", F.col("class_id").alias("leader"), F.col("n").alias("n_a"), F.col("root").alias("root_a")), "leaders")
-            if not leaders.limit(1).count():
-                return roots.select("class_id", F.col("root").alias("component_id"))
-            pairs = self._against(open_rows.where(F.col("class_id").isNotNull()), leaders, apart=True)
-            links = stored(links.unionByName(self.confirm(pairs)).distinct(), "links")
-            count *= 8
-
-    @staticmethod
-    def _against(buckets: DataFrame, leaders: DataFrame, apart: bool = False) -> DataFrame:
-        pairs = buckets.join(leaders, "key").where(F.col("class_id") != F.col("leader"))
-        if apart:
-            pairs = pairs.where(F.col("root") != F.col("root_a"))
-        return pairs.select(
-            F.least("leader", "class_id").alias("a"), F.greatest("leader", "class_id").alias("b"), F.col("n_a"), F.col("n").alias("n_b")
-        )
+        links = self.against_leaders()
+        roots = self._roots(links)
+        more = self.inside_buckets(roots)
+        if more.limit(1).count():
+            roots = self._roots(links.unionByName(more))
+        return roots.select("class_id", F.col("root").alias("component_id"))
 
     def _roots(self, links: DataFrame) -> DataFrame:
         both = links.select(F.col("a").alias("i"), F.col("b").alias("j")).unionByName(links.select(F.col("b").alias("i"), F.col("a").alias("j")))
         linked = both.select(F.col("i").alias("id")).distinct()
         found = connected_components(linked, both).select(F.col("id").alias("class_id"), "root")
-        everyone = self.buckets.select("class_id").distinct()
-        joined = everyone.join(found, "class_id", "left").select("class_id", F.coalesce("root", "class_id").alias("root"))
-        return stored(joined, "roots")
+        joined = self.members.select("class_id").join(found, "class_id", "left")
+        return stored(joined.select("class_id", F.coalesce("root", "class_id").alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

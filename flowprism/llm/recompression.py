@@ -248,22 +248,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     symbols = rows.select("_doc", "_tag", text.alias("_text")).mapInArrow(_region_batches, REGION_SCHEMA)
     own = F.struct("doc", "tag", "at")
-    grouped = _repeats(symbols, "symbol", "region")
     by_symbol = Window.partitionBy("symbol")
     several = F.min("region").over(by_symbol) != F.max("region").over(by_symbol)
-    repeat = F.col("earliest").isNull() | (F.col("earliest") != own)
-    settled = grouped.withColumns({"repeat": repeat, "several": F.coalesce(several, F.lit(False))})
+    # The wider window comes first: its exchange serves the narrower one too.
+    grouped = _repeats(symbols.withColumn("several", F.coalesce(several, F.lit(False))), "symbol", "region")
+    settled = grouped.withColumn("repeat", F.col("earliest").isNull() | (F.col("earliest") != own))
     settled = stored(settled.where(F.col("repeat") | F.col("several")).select("doc", "tag", "at", "n", "repeat"), "regions")
 
     runs = F.collect_list(F.struct("at", "n")).alias("_runs")
     key = [F.col("doc").alias("_doc"), F.col("tag").alias("_tag")]
     opened = settled.where(~F.col("repeat")).groupBy(*key).agg(runs)
-    # The texts are dealt out by document once, for both joins.
+    # The texts are dealt out by document once: both joins read the same columns, so they share the exchange.
     dealt = rows.repartition("_doc", "_tag")
-    windows = dealt.join(opened, ["_doc", "_tag"]).select("_doc", "_tag", text.alias("_text"), "_runs").mapInArrow(_window_batches, MARK_SCHEMA)
+    columns = [F.col(f"`{c}`") for c in kept]
+    windows = dealt.join(opened, ["_doc", "_tag"]).select("_doc", "_tag", text.alias("_text"), "_runs", *columns)
+    windows = windows.mapInArrow(_window_batches, MARK_SCHEMA)
     later = _repeats(windows, "name_a", "name_b").where(F.col("earliest").isNull() | (F.col("earliest") != own))
     marks = settled.where("repeat").select("doc", "tag", "at", "n").unionByName(later.select("doc", "tag", "at", "n"))
-    joined = dealt.join(marks.groupBy(*key).agg(runs), ["_doc", "_tag"], "left").select(*(F.col(f"`{c}`") for c in kept), "_runs")
+    joined = dealt.join(marks.groupBy(*key).agg(runs), ["_doc", "_tag"], "left").select(*columns, "_runs")
     types = {c: docs.schema[c].dataType.simpleString() for c in kept}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "n_words bigint, n_removed bigint, kept_text string"])
     return joined.mapInArrow(_removal_batches(kept, kept.index("text"), len(kept)), schema)
