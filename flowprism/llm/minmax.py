@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from flowprism.llm import texts as T
 from flowprism.operators.components import connected_components
@@ -113,7 +114,7 @@ def _sketch_batches(width: int):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal positions of two signatures."""
     x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
