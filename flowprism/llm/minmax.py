@@ -39,7 +39,7 @@ from flowprism.session import stored
 PERMUTATIONS = 126
 BANDS = 42
 FLOOR = 0.6
-BLOCK = 256
+BLOCK = 768
 COLUMNS = 4096
 
 _RNG = np.random.Generator(np.random.PCG64(11))
@@ -230,7 +230,8 @@ class NearDuplicates:
         met = stored(met.join(self.classes.select("class_id", F.col("n_shingles").alias("n"), "signature"), "class_id"), "members")
         self.members = met
         self.buckets = stored(rows.join(met.select("class_id", "met", "n"), "class_id").select("key", "class_id", "m", "met", "n"), "buckets")
-        found = docs.join(met.select(F.col("class_id").alias("doc_id")), "doc_id")
+        # The same plan at every size: members grow with the corpus and are never broadcast.
+        found = docs.join(met.select(F.col("class_id").alias("doc_id")).hint("merge"), "doc_id")
         # A repeated id has one row per text; any of its class serves.
         self.texts = stored(found.select(F.col("doc_id").alias("class_id"), "text"), "texts")
 
