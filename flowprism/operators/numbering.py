@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from flowprism.session import broadcast_if_small, durable, stored
 
 
-def rank_rows(rows: DataFrame, order: Sequence[str], name: str) -> tuple[DataFrame, int]:
+def rank_rows(rows: DataFrame, order: Sequence[str], name: str, parts: int | None = None) -> tuple[DataFrame, int]:
     """``rows`` with 0-based ``name`` in the given order, and the number of rows.
 
     Rows are dealt into ranges and sorted there; what earlier ranges hold is added from their counts.
     A hot value is split as long as later columns of ``order`` differ. Ties get different ranks.
     """
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # The low 33 bits of this id are the row's place in its partition.
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -31,9 +31,12 @@ def rank_rows(rows: DataFrame, order: Sequence[str], name: str) -> tuple[DataFra
     return ranked.drop("_part", "_at", "_start"), total
 
 
-def number_rows(rows: DataFrame, row_id: str, name: str, first: Sequence[str] = ()) -> DataFrame:
-    """Add 0-based ``name`` in the order (first..., row_id), whatever the spread of the ids."""
-    return rank_rows(rows, [*first, row_id], name)[0]
+def number_rows(rows: DataFrame, row_id: str, name: str, first: Sequence[str] = (), bits: int | None = None) -> DataFrame:
+    """Add 0-based ``name`` in the order (first..., row_id), whatever the spread of the ids.
+
+    Rows are dealt into ``2**bits`` ranges, by default as many as the session has shuffle partitions.
+    """
+    return rank_rows(rows, [*first, row_id], name, None if bits is None else 1 << bits)[0]
 
 
 def _splitters(values: DataFrame, parts: int) -> DataFrame:

@@ -20,6 +20,7 @@ MAGICS = {
 FILE_HEADER = 24
 RECORD_HEADER = 16
 ROWS_PER_BATCH = 10_000
+READ_BUFFER = 4 << 20
 FRAME_SCHEMA = "capture_id string, seq bigint, ts_us bigint, frame binary"
 
 
@@ -31,48 +32,94 @@ def list_captures(spark: SparkSession, path: str, pattern: str = "*.pcap") -> Da
     return listed.load(path).select("path", "length")
 
 
-def read_frames(spark: SparkSession, path: str, pattern: str = "*.pcap") -> DataFrame:
-    """Frames of every capture: ``capture_id, seq, ts_us, frame``.
+def _records(stream, order: str, ticks: int) -> Iterator[tuple[int, bytes] | None]:
+    """``ts_us, frame`` of each record; a last None says that the file ends inside a record."""
+    while record := stream.read(RECORD_HEADER):
+        if len(record) < RECORD_HEADER:
+            yield None
+            return
+        second, tick, kept, _ = struct.unpack(order + "IIII", record)
+        frame = stream.read(kept)
+        if len(frame) < kept:
+            yield None
+            return
+        yield second * 1_000_000 + tick * 1_000_000 // ticks, frame
 
-    Files are the unit of work (sensors rotate them); a task streams its file record by
-    record, so memory does not grow with the file. A cut-off last record is left out.
-    """
+
+def _open(uri: str):
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(uri)
+    return system.open_input_stream(name, buffer_size=READ_BUFFER)
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     files = list_captures(spark, path, pattern)
-    count = files.count()
-    magics, file_header, record_header, batch_rows = MAGICS, FILE_HEADER, RECORD_HEADER, ROWS_PER_BATCH
+    return files.select("path").repartition(max(1, min(files.count(), 10_000)))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
 
+def read_frames(spark: SparkSession, path: str, pattern: str = "*.pcap", on_bad: str = "raise") -> DataFrame:
+    """Frames of every capture: ``capture_id, seq, ts_us, frame``; the id is the file's full path.
+
+    Files are the unit of work (sensors rotate them); a task streams its file record by record, so memory
+    does not grow with the file. A file that is no classic capture fails the read with its path, unless
+    ``on_bad="report"``. A record cut off at the end of a file (a sensor still writing) is left out;
+    ``capture_problems`` names such files, and those that are no captures.
+    """
+    if on_bad not in ("raise", "report"):
+        raise ValueError("on_bad is 'raise' or 'report'")
+    strict = on_bad == "raise"
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for uri in batch["path"]:
-                system, name = fs.FileSystem.from_uri(uri)
-                with system.open_input_stream(name) as stream:
-                    head = stream.read(file_header)
-                    if len(head) < file_header or head[:4] not in magics:
+                with _open(uri) as stream:
+                    head = stream.read(FILE_HEADER)
+                    if len(head) < FILE_HEADER or head[:4] not in MAGICS:
+                        if strict:
+                            raise ValueError(f"{uri} is not a classic capture file")
                         continue
-                    order, ticks = magics[head[:4]]
-                    rows, seq, more = [], 0, True
-                    while more:
-                        record = stream.read(record_header)
-                        more = len(record) == record_header
-                        if more:
-                            second, tick, kept, _ = struct.unpack(order + "IIII", record)
-                            frame = stream.read(kept)
-                            more = len(frame) == kept
-                        if more:
-                            rows.append((uri.rsplit("/", 1)[-1], seq, second * 1_000_000 + tick * 1_000_000 // ticks, frame))
-                            seq += 1
-                        if rows and (not more or len(rows) == batch_rows):
+                    rows, seq = [], 0
+                    for record in _records(stream, *MAGICS[head[:4]]):
+                        if record is None:
+                            break
+                        rows.append((uri, seq, *record))
+                        seq += 1
+                        if len(rows) == ROWS_PER_BATCH:
                             yield pd.DataFrame(rows, columns=["capture_id", "seq", "ts_us", "frame"])
                             rows = []
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["capture_id", "seq", "ts_us", "frame"])
+
+    return _files(spark, path, pattern).mapInPandas(walk, FRAME_SCHEMA)
+
+
+def capture_problems(spark: SparkSession, path: str, pattern: str = "*.pcap") -> DataFrame:
+    """``path, problem, frames`` of files that are no captures or end inside a record; ``frames`` are whole."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for uri in batch["path"]:
+                with _open(uri) as stream:
+                    head = stream.read(FILE_HEADER)
+                    if len(head) < FILE_HEADER or head[:4] not in MAGICS:
+                        found.append((uri, "not a classic capture file", 0))
+                        continue
+                    whole = 0
+                    for record in _records(stream, *MAGICS[head[:4]]):
+                        if record is None:
+                            found.append((uri, "ends inside a record", whole))
+                        else:
+                            whole += 1
+            yield pd.DataFrame(found, columns=["path", "problem", "frames"])
 
-    return files.select("path").repartition(max(1, min(count, 10_000))).mapInPandas(walk, FRAME_SCHEMA)
+    return _files(spark, path, pattern).mapInPandas(look, "path string, problem string, frames bigint")
 
 
-def read_packets(spark: SparkSession, path: str, pattern: str = "*.pcap") -> DataFrame:
-    """Decoded packets of every capture; ``capture_id`` is the scope."""
-    return decode_frames(read_frames(spark, path, pattern)).drop("frame")
+def read_packets(spark: SparkSession, path: str, pattern: str = "*.pcap", on_bad: str = "raise") -> DataFrame:
+    """Decoded packets of every capture; ``capture_id``, the file's path, is the scope."""
+    return decode_frames(read_frames(spark, path, pattern, on_bad)).drop("frame")
 
 
 def write_capture(frames: list[tuple[int, bytes]], path: str) -> None:

@@ -151,3 +151,22 @@ def test_bounded_stream_stops(spark, packets, files, tmp_path):
 def test_events_view_matches_schema(spark):
     rows = packets_from_events(spark, spark.read.parquet(f"{SF}/events.parquet"))
     assert rows.where("eth_type = 2054 and src_ip is not null").count() == 0
+
+
+def test_bad_captures(spark, tmp_path):
+    from flowprism.sources.captures import capture_problems, read_frames
+
+    frames = [(1_000_000 * i, b"\x00" * 60) for i in range(5)]
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        write_capture(frames, str(tmp_path / folder / "x.pcap"))
+    assert read_frames(spark, str(tmp_path)).select("capture_id").distinct().count() == 2
+    whole = (tmp_path / "a" / "x.pcap").read_bytes()
+    (tmp_path / "a" / "cut.pcap").write_bytes(whole[:-7])
+    assert read_frames(spark, str(tmp_path)).count() == 14
+    (tmp_path / "a" / "new.pcap").write_bytes(b"\x0a\x0d\x0d\x0a" + b"\x00" * 40)
+    with pytest.raises(Exception, match="pcap"):
+        read_frames(spark, str(tmp_path)).count()
+    assert read_frames(spark, str(tmp_path), on_bad="report").count() == 14
+    found = {r["path"].rsplit("/", 1)[-1]: (r["problem"], r["frames"]) for r in capture_problems(spark, str(tmp_path)).collect()}
+    assert found == {"cut.pcap": ("ends inside a record", 4), "new.pcap": ("not a classic capture file", 0)}
