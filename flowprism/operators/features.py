@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from flowprism.functions import packet as P
 from flowprism.operators.flows import FLAG_COUNTERS, rate_carry_forward, seconds, with_flow_features
 from flowprism.operators.frames import direction_fold, frame20_stats, two_stream_stats, with_frame_group
-from flowprism.operators.ordered import BLOCK_BITS, earlier_rates, running
+from flowprism.operators.ordered import BLOCK_BITS, block_summary, earlier_rates, running
+from flowprism.session import stored
 
 # The feature names in output order (spelling kept).
 _HEAD = [
@@ -62,8 +63,9 @@ def extract_features(
         raise ValueError(f"unknown mode {mode!r}")
     live = mode == "realtime"
     packets = P.filter_ip_arp(packets)
-    frames = running(packets, scope, ["scope", "flow"], bounded=live, block_bits=block_bits)
-    earlier = None if live else earlier_rates(packets, scope, block_bits)
+    summary = None if live else stored(block_summary(packets, scope, block_bits), "blocks")
+    frames = running(packets, scope, ["scope", "flow"], bounded=live, block_bits=block_bits, summary=summary)
+    earlier = None if live else earlier_rates(summary, scope)
     frames = rate_carry_forward(with_flow_features(frames), scope, earlier)
     frames = with_frame_group(frames)
     frames = direction_fold(frames, scope, arp_moves=not live)

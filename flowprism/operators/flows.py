@@ -152,7 +152,7 @@ def with_flow_features(frames: DataFrame) -> DataFrame:
         "sum_duration": flow_only(n * seconds(base) + F.col("flow_s1") / 1e6),
         "average_duration": flow_only(seconds(base) + mean_off / 1e6),
         "std_duration": flow_only(F.sqrt(variance) / 1e6),
-        "flow_idle_time": flow_only(seconds(F.col("flow_max_us") - F.coalesce("flow_prev_us", F.lit(0)))),
+        "flow_idle_time": flow_only(seconds(F.col("flow_max_us") - F.coalesce("flow_second_us", F.lit(0)))),
         "flow_active_time": flow_only(duration),
     }
     features |= {

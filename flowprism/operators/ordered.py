@@ -17,7 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowprism.functions.packet import FLOW_KEY, TCP_FLAG_MASKS, has_flow, tcp_flag_bits, with_flow_key
+from flowprism.functions.packet import FLOW_KEY, TCP_FLAG_MASKS, tcp_flag_bits, with_flow_key
+from flowprism.session import stored
 
 BLOCK_BITS = 18
 # Epoch microseconds are split in two parts whose sums stay exact in 64 bits.
@@ -50,14 +51,15 @@ def _count_carry(frames: DataFrame, keys: list[str], name: str) -> DataFrame:
     )
 
 
-def _scope_carry(frames: DataFrame, scope: str) -> DataFrame:
+def _scope_carry(blocks: DataFrame, scope: str) -> DataFrame:
+    """Rows, first and last time of a scope before each block, from partial rows of the blocks."""
     past = _before(Window.partitionBy(scope).orderBy("_blk"))
     return (
-        frames.groupBy(scope, "_blk")
+        blocks.groupBy(scope, "_blk")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max_by("ts_us", "seq").alias("last"),
-            F.min_by("ts_us", "seq").alias("first"),
+            F.sum("n").alias("n"),
+            F.max_by("last_us", "last_seq").alias("last"),
+            F.min_by("first_us", "first_seq").alias("first"),
         )
         .select(
             scope,
@@ -70,6 +72,13 @@ def _scope_carry(frames: DataFrame, scope: str) -> DataFrame:
     )
 
 
+def _one_row_each(frames: DataFrame, scope: str) -> DataFrame:
+    """Frames in the form that ``_scope_carry`` sums up."""
+    return frames.select(
+        scope, "_blk", F.lit(1).alias("n"), *[F.col(c).alias(f"{end}_{n}") for end in ("first", "last") for c, n in (("ts_us", "us"), ("seq", "seq"))]
+    )
+
+
 def _since(high: Column, low: Column, rows: Column, base: Column) -> Column:
     """Sum of (ts - base) in microseconds from the two exact partial sums."""
     base_high = F.floor(base / F.lit(_SPLIT)).cast("long")
@@ -77,30 +86,92 @@ def _since(high: Column, low: Column, rows: Column, base: Column) -> Column:
     return (high - rows * base_high).cast("double") * _SPLIT + (low - rows * base_low).cast("double")
 
 
-def _flow_carry(frames: DataFrame, scope: str) -> DataFrame:
-    keys = [scope, *FLOW_KEY]
-    by_block = Window.partitionBy(*keys).orderBy("_blk")
-    past = _before(by_block)
+def _second_latest(bits: int) -> tuple[list[Column], Column]:
+    """Aggregates and expression of the second-largest time among frames with different numbers.
+
+    Every other frame of a block differs from the latest one in some bit of its number. The
+    latest time per bit and bit value therefore holds the second latest, ties included, and
+    combines map-side like any maximum, so a hot flow is never listed or sorted.
+    """
+    sides = [(bit, value) for bit in range(bits) for value in (0, 1)]
+
+    def bit_of(number: Column, bit: int) -> Column:
+        return F.shiftright(number, bit).bitwiseAND(F.lit(1).cast("long"))
+
+    latest = [F.max(F.when(bit_of(F.col("seq"), bit) == value, F.col("ts_us"))).alias(f"side{bit}_{value}") for bit, value in sides]
+    top = F.col("top.seq")
+    others = [F.when(bit_of(top, bit) != value, F.col(f"side{bit}_{value}")) for bit, value in sides]
+    # a block of one frame has no second latest
+    return latest, F.greatest(*others) if others else F.lit(None).cast("long")
+
+
+def block_summary(packets: DataFrame, scope: str, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """One row per (scope, block, flow); frames outside flows share rows with a null flow key.
+
+    All carry rows of a capture are made from it. Store it where several are needed, and
+    the packets are read once for all of them.
+    """
+    bits = tcp_flag_bits()
     high = F.floor(F.col("ts_us") / F.lit(_SPLIT)).cast("long")
-    blocks = (
-        frames.where(has_flow())
-        .groupBy(*keys, "_blk")
+    sides, second = _second_latest(block_bits)
+    return (
+        with_flow_key(packets)
+        .withColumn("_blk", block_of("seq", block_bits))
+        .groupBy(scope, *FLOW_KEY, "_blk")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("frame_len").alias("bytes"),
             F.min("ts_us").alias("lo_us"),
-            F.max("ts_us").alias("hi_us"),
-            F.min_by("ts_us", "seq").alias("first_us"),
+            F.max(F.struct("ts_us", "seq")).alias("top"),
+            F.min(F.struct("seq", "ts_us")).alias("start"),
+            F.max(F.struct("seq", "ts_us")).alias("end"),
             F.sum(high).alias("high"),
             F.sum(F.col("ts_us") - high * _SPLIT).alias("low"),
             F.var_pop(F.col("ts_us").cast("double")).alias("var"),
-            *[F.sum(f"_{flag}").alias(flag) for flag in _FLAGS],
+            *[F.sum(bits[flag]).alias(flag) for flag in _FLAGS],
+            *sides,
         )
-        .withColumn("base", F.first("first_us").over(_upto(by_block)))
+        .select(
+            scope,
+            *FLOW_KEY,
+            "_blk",
+            "n",
+            "bytes",
+            "lo_us",
+            F.col("top.ts_us").alias("hi_us"),
+            second.alias("second_us"),
+            F.col("start.seq").alias("first_seq"),
+            F.col("start.ts_us").alias("first_us"),
+            F.col("end.seq").alias("last_seq"),
+            F.col("end.ts_us").alias("last_us"),
+            "high",
+            "low",
+            "var",
+            *_FLAGS,
+        )
+    )
+
+
+def _in_flow(summary: DataFrame) -> DataFrame:
+    return summary.where(F.col("a_port").isNotNull())
+
+
+def _flow_carry(summary: DataFrame, scope: str) -> DataFrame:
+    keys = [scope, *FLOW_KEY]
+    by_block = Window.partitionBy(*keys).orderBy("_blk")
+    past = _before(by_block)
+    blocks = _in_flow(summary).withColumns(
+        {"base": F.first("first_us").over(_upto(by_block)), "before_us": F.max("hi_us").over(past)}
     )
     shift = _since(F.col("high"), F.col("low"), F.col("n"), F.col("base"))
     # Spread around the flow's first packet: within the block plus the block mean's offset.
-    blocks = blocks.withColumns({"s1": shift, "s2": F.col("n") * F.col("var") + shift * shift / F.col("n")})
+    blocks = blocks.withColumns(
+        {
+            "s1": shift,
+            "s2": F.col("n") * F.col("var") + shift * shift / F.col("n"),
+            "second_us": F.greatest("second_us", _runner_up(F.col("hi_us"), F.col("before_us"))),
+        }
+    )
     sums = {"_n_flow": "n", "_bytes": "bytes", "_s1": "s1", "_s2": "s2"} | {f"_{f}": f for f in _FLAGS}
     return blocks.select(
         *keys,
@@ -108,10 +179,16 @@ def _flow_carry(frames: DataFrame, scope: str) -> DataFrame:
         *[F.sum(source).over(past).alias(name) for name, source in sums.items()],
         F.min("lo_us").over(past).alias("_lo_us"),
         F.max("hi_us").over(past).alias("_hi_us"),
+        F.max("second_us").over(past).alias("_second_us"),
         F.col("base").alias("_base_us"),
     ).where(F.col("_n_flow").isNotNull())
 
 
+def _runner_up(time: Column, before: Column) -> Column:
+    """What a time adds to the second-largest so far: the smaller of it and the largest before."""
+    return F.when(before.isNotNull(), F.least(time, before))
+
+
 def running(
     packets: DataFrame,
     scope: str,
@@ -119,15 +196,18 @@ def running(
     *,
     bounded: bool = False,
     block_bits: int = BLOCK_BITS,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """Add running columns to IP/ARP frames, in ``seq`` order inside ``scope``.
 
     kinds: ``scope`` (rn, prev_us, first_us), ``src`` (src_seen), ``dst`` (dst_seen),
-    ``flow`` (flow_n, flow_bytes, flow_min_us, flow_max_us, flow_prev_us, flow_s1,
+    ``flow`` (flow_n, flow_bytes, flow_min_us, flow_max_us, flow_second_us, flow_s1,
     flow_s2, flow_base_us and one counter per TCP flag). ``bounded=True`` says a scope
-    is a small micro-batch, so no blocks are needed.
+    is a small micro-batch, so no blocks are needed. ``summary`` is a stored
+    ``block_summary`` of the same packets and block size.
 
-    Capture order is arrival order: ``ts_us`` does not decrease with ``seq``.
+    Rows follow ``seq``; times may arrive out of order (``flow_second_us`` is the second
+    latest time of the flow so far, null on its first packet).
     """
     kinds = set(kinds)
     bits = tcp_flag_bits()
@@ -138,14 +218,17 @@ def running(
     else:
         frames = frames.withColumn("_blk", block_of("seq", block_bits))
         carries = []
+        if "flow" in kinds and summary is None:
+            summary = block_summary(packets, scope, block_bits)
+            summary = stored(summary, "blocks") if "scope" in kinds else summary
         if "scope" in kinds:
-            carries.append(_scope_carry(frames, scope))
+            carries.append(_scope_carry(_one_row_each(frames, scope) if summary is None else summary, scope))
         if "src" in kinds:
             carries.append(_count_carry(frames, [scope, "src_ip"], "_n_src"))
         if "dst" in kinds:
             carries.append(_count_carry(frames, [scope, "dst_ip"], "_n_dst"))
         if "flow" in kinds:
-            carries.append(_flow_carry(frames, scope))
+            carries.append(_flow_carry(summary, scope))
         rows = reduce(
             lambda left, right: left.unionByName(right, allowMissingColumns=True),
             carries,
@@ -179,6 +262,8 @@ def running(
         by_flow = Window.partitionBy(*part, *FLOW_KEY).orderBy(order)
         run, past = _upto(by_flow), _before(by_flow)
         out = out.withColumn("flow_base_us", F.first(carried("_base_us", F.col("ts_us")), ignorenulls=True).over(run))
+        out = out.withColumn("_before_us", F.max(carried("_hi_us", F.col("ts_us"))).over(past))
+        runner_up = _runner_up(F.col("ts_us"), F.col("_before_us"))
         offset = (F.col("ts_us") - F.col("flow_base_us")).cast("double")
         out = out.withColumns(
             {
@@ -186,7 +271,7 @@ def running(
                 "flow_bytes": F.sum(carried("_bytes", F.col("frame_len"))).over(run),
                 "flow_min_us": F.min(carried("_lo_us", F.col("ts_us"))).over(run),
                 "flow_max_us": F.max(carried("_hi_us", F.col("ts_us"))).over(run),
-                "flow_prev_us": F.max(carried("_hi_us", F.col("ts_us"))).over(past),
+                "flow_second_us": F.max(carried("_second_us", runner_up)).over(run),
                 "flow_s1": F.sum(carried("_s1", offset)).over(run),
                 "flow_s2": F.sum(carried("_s2", offset * offset)).over(run),
                 # frames and carry rows use the same per-flag column
@@ -197,31 +282,23 @@ def running(
     return out.where(F.col(_FRAME) == 1).drop(*internal)
 
 
-def earlier_rates(packets: DataFrame, scope: str, block_bits: int = BLOCK_BITS) -> DataFrame:
+def earlier_rates(summary: DataFrame, scope: str) -> DataFrame:
     """``_carry_rate, _carry_drate``: the last known rates before each (scope, block).
 
     A flow's duration never shrinks, so the last packet with a rate in a block is the
-    last packet of some flow there. Aggregates per (flow, block) are enough to know it;
+    last packet of some flow there. The rows of ``block_summary`` are enough to know it;
     no packet is windowed for this.
     """
     keys = [scope, *FLOW_KEY]
-    frames = with_flow_key(packets).withColumn("_blk", block_of("seq", block_bits))
     so_far = _upto(Window.partitionBy(*keys).orderBy("_blk"))
     blocks = (
-        frames.where(has_flow())
-        .groupBy(*keys, "_blk")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("ts_us").alias("lo"),
-            F.max("ts_us").alias("hi"),
-            F.max("seq").alias("at"),
-        )
+        _in_flow(summary)
         .select(
             *keys,
             "_blk",
-            "at",
+            F.col("last_seq").alias("at"),
             F.sum("n").over(so_far).cast("double").alias("n"),
-            ((F.max("hi").over(so_far) - F.min("lo").over(so_far)).cast("double") / 1e6).alias("duration"),
+            ((F.max("hi_us").over(so_far) - F.min("lo_us").over(so_far)).cast("double") / 1e6).alias("duration"),
         )
         .where(F.col("duration") > 0)
     )
@@ -232,7 +309,7 @@ def earlier_rates(packets: DataFrame, scope: str, block_bits: int = BLOCK_BITS)
         F.max_by(F.when(same_end, rate).otherwise(0.0), F.col("at")).alias("drate"),
     )
     # Blocks without a rate take part, so the value reaches them too.
-    every = frames.groupBy(scope, "_blk").agg(F.count(F.lit(1)).alias("rows"))
+    every = summary.select(scope, "_blk").distinct()
     past = _before(Window.partitionBy(scope).orderBy("_blk"))
     return every.join(last, [scope, "_blk"], "left").select(
         scope,

@@ -10,8 +10,9 @@ from flowprism.functions import events as E
 from flowprism.functions import labels as L
 from flowprism.functions import packet as P
 from flowprism.operators import features, flows, frames
-from flowprism.operators.ordered import earlier_rates, running
+from flowprism.operators.ordered import block_summary, earlier_rates, running
 from flowprism.plans.registry import query, table
+from flowprism.session import stored
 from flowprism.sources.packets import ORACLE_WITH, packets_from_events
 
 WITH = ORACLE_WITH
@@ -271,6 +272,21 @@ def flow_running(spark, sf):
     return tidy(flows.flow_running(ip_arp(spark, sf), "day_id").select("seq", *_FLOW_OUT), _FLOW_DIGITS)
 
 
+_MIXED = "ts_us + seq * 7919 % 13 * 21600000000"
+
+
+@query(
+    "flow_running_unordered",
+    f"""{KEYED}, mixed as (select * replace ({_MIXED} as ts_us) from keyed)
+    select seq, {_FLOW_RUN.replace("coalesce(lag(ts_us) over w0, 0)", "coalesce(list_reverse_sort(list(ts_us) over w)[2], 0)").replace("(ts_us - coalesce", "(max(ts_us) over w - coalesce")}
+    from mixed {_FLOW_WINDOWS}""",
+)
+def flow_running_unordered(spark, sf):
+    """Times jump by up to three days between frames; blocks of 256 frames."""
+    mixed = ip_arp(spark, sf).withColumn("ts_us", F.expr(_MIXED))
+    return tidy(flows.flow_running(mixed, "day_id", block_bits=8).select("seq", *_FLOW_OUT), _FLOW_DIGITS)
+
+
 _RUN_COUNTERS = ", ".join(
     f"cast(sum({_bit_sql(flag)}) over w as bigint) as {name}" for name, flag in flows.FLAG_COUNTERS.items()
 )
@@ -513,8 +529,9 @@ def two_stream_cov_corr(spark, sf):
 @query("rate_carry_forward", _feature_sql("day_id", False, ["Rate", "Srate", "Drate"]))
 def rate_carry_forward(spark, sf):
     rows = ip_arp(spark, sf)
-    state = flows.with_flow_features(running(rows, "day_id", ["flow"]))
-    return tidy(flows.rate_carry_forward(state, "day_id", earlier_rates(rows, "day_id")).select("day_id", "seq", "Rate", "Srate", "Drate"))
+    summary = stored(block_summary(rows, "day_id"), "blocks")
+    state = flows.with_flow_features(running(rows, "day_id", ["flow"], summary=summary))
+    return tidy(flows.rate_carry_forward(state, "day_id", earlier_rates(summary, "day_id")).select("day_id", "seq", "Rate", "Srate", "Drate"))
 
 
 _DIGITS = _FLOW_DIGITS
@@ -525,6 +542,12 @@ def extract_features_batch(spark, sf):
     return tidy(features.extract_features(packets(spark, sf), "batch", "day_id"), _DIGITS)
 
 
+@query("extract_features_blocks", _feature_sql("day_id", False, features.BATCH_COLUMNS))
+def extract_features_blocks(spark, sf):
+    """Blocks of 32 frames, so what earlier blocks hand on decides most rows."""
+    return tidy(features.extract_features(packets(spark, sf), "batch", "day_id", block_bits=5), _DIGITS)
+
+
 def realtime(spark, sf) -> DataFrame:
     return features.extract_features(packets(spark, sf), "realtime", "batch_id")
 

@@ -10,7 +10,8 @@ from flowprism.functions.packet import filter_ip_arp
 from flowprism.operators.features import BATCH_COLUMNS, MODEL_COLUMNS, REALTIME_COLUMNS, extract_features
 from flowprism.operators.flows import INTENDED_COUNTERS, flow_flag_counts, flow_running, flow_summary
 from flowprism.operators.ordered import running
-from tests.conftest import packet
+from flowprism.sources.packets import packets_from_events
+from tests.conftest import SF, packet
 
 S = 1_000_000
 
@@ -149,17 +150,26 @@ def test_flow_summary_is_the_last_running_row(packets):
     assert left == sorted(map(tuple, whole.collect()))
 
 
+@pytest.mark.parametrize("bits", [0, 1, 18])
+def test_idle_time_of_frames_out_of_order(make_packets, bits):
+    df = make_packets([packet(i, t * S) for i, t in enumerate([1, 5, 3, 5, 9])])
+    idle = [r["flow_idle_time"] for r in flow_running(df, "capture_id", block_bits=bits).orderBy("seq").collect()]
+    assert idle == [1, 4, 2, 0, 4]
+
+
 def test_swapping_ends_keeps_the_flow(make_packets):
     df = make_packets([packet(0, 0), packet(1, S, "10.0.0.2", "10.0.0.1", 80, 1000)])
     rows = flow_summary(df, "capture_id").collect()
     assert len(rows) == 1 and rows[0]["packets"] == 2
 
 
-def test_feature_plan_shuffles(packets):
+def test_feature_plan_shuffles(spark, packets):
     """Real time: one shuffle on the batch. Batch: one on blocks, one on groups of 20."""
     live = extract_features(packets, "realtime", "batch_id")
     plan = live._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "CartesianProduct" not in plan and "SinglePartition" not in plan
-    batch = extract_features(packets, "batch", "day_id")._jdf.queryExecution().executedPlan().toString()
+    rows = packets_from_events(spark, spark.read.parquet(f"{SF}/events.parquet"))
+    batch = extract_features(rows, "batch", "day_id")._jdf.queryExecution().executedPlan().toString()
+    assert batch.count("events.parquet") == 1  # the stored block summary read them once before
     assert batch.count("day_id") and "SinglePartition" not in batch
