@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from flowprism.functions import events as E
 from flowprism.functions import labels as L
 from flowprism.functions import wire
-from flowprism.operators import features, kinn
+from flowprism.operators import features, kinn, metrics
+from flowprism.operators.flows import FLAG_COUNTERS
 from flowprism.operators.scaling import fit_scaler
 from flowprism.operators.split import fit_labels
 from flowprism.plans.model_queries import SPLIT, _test_sql, fitted, train_test
@@ -18,6 +19,11 @@ from flowprism.plans.packet_queries import (
     LABEL_SQL,
     WITH,
     R,
+    _FLOW_DIGITS,
+    _FLOW_OUT,
+    _FLOW_RUN,
+    _FLOW_WINDOWS,
+    _RUN_COUNTERS,
     _feature_columns,
     _stage_sql,
     detections,
@@ -27,6 +33,7 @@ from flowprism.plans.packet_queries import (
     tidy,
 )
 from flowprism.plans.registry import query, table
+from flowprism.plans.table_queries import _MACRO, _MCC, _OVR, SCORED, scored
 from flowprism.session import durable, scratch_path
 from flowprism.sources import tables
 from flowprism.sources.packets import packets_from_events
@@ -35,12 +42,13 @@ from flowprism.streaming import pipeline
 # ---- sources and sinks ----------------------------------------------------------------
 
 
-@query("src_csv", f"select event_id, event_type, {R('value')} as value from events")
+@query("src_csv", f"select event_id, epoch_us(ts) as ts_us, user_id, event_type, {R('value')} as value, props from events")
 def src_csv(spark, sf):
     path = scratch_path(spark, "csv")
-    rows = table(spark, sf, "events").select("event_id", "event_type", "value")
+    rows = table(spark, sf, "events")
     tables.write_features(rows, path, "csv")
-    return tidy(tables.read_csv(spark, path, rows.schema))
+    back = tables.read_csv(spark, path, rows.schema)
+    return tidy(back.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "user_id", "event_type", "value", "props"))
 
 
 _DECODED = """select seq, cast(eth_type as bigint) as eth_type, src_mac, dst_mac, coalesce(src_ip, '') as src_ip,
@@ -195,15 +203,21 @@ def model_store(spark, sf):
     return tidy(kinn.predict_supervised(model, test, compat="nearest"))
 
 
+_MEASURES = ["mcc", "acc", "tpr_macro", "fpr", "ppv_macro", "f1_macro"]
+
+
 @query(
     "sink_results",
-    "select source, count(*) as n from documents group by source",
+    f"""{SCORED} select m.mcc, o.acc, p.tpr_macro, o.fpr, p.ppv_macro, p.f1_macro
+    from ({_MCC.format(R("(c * s - pt) / (sqrt(s * s - pp) * sqrt(s * s - tt))"))}) m,
+      (select {_OVR}) o, (select {_MACRO}) p""",
 )
 def sink_results(spark, sf):
+    """The measures of a run as an experiment table: written, then read back."""
     path = scratch_path(spark, "results")
-    results = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    tables.write_results(results, path)
-    return spark.read.schema("source string, n bigint").csv(path, header=True)
+    tables.write_results(metrics.evaluate(scored(spark, sf)), path)
+    back = spark.read.schema(", ".join(f"{c} double" for c in _MEASURES)).csv(path, header=True)
+    return tidy(back)
 
 
 # ---- streams --------------------------------------------------------------------------
@@ -215,14 +229,23 @@ def packet_stream(spark, sf) -> DataFrame:
     return packets_from_events(spark, pipeline.read_packet_stream(spark, f"{sf}/events*.parquet", schema))
 
 
-def _collected(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
+def cut_stream(spark, sf) -> DataFrame:
+    """The packets as a stream of three micro-batches whose borders fall inside batches of 100."""
+    path, pieces, files = scratch_path(spark, "cut"), 3, 4
+    events = table(spark, sf, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    for piece in range(pieces):
+        borders = [(last + 1) * k // pieces + 37 for k in (piece, piece + 1)]
+        low = F.lit(True) if piece == 0 else F.col("event_id") >= borders[0]
+        high = F.lit(True) if piece == pieces - 1 else F.col("event_id") < borders[1]
+        events.where(low & high).repartition(files).write.mode("append").parquet(path)
+    return packets_from_events(spark, pipeline.read_packet_stream(spark, path, events.schema, max_files=files))
+
+
+def _collected(spark, stream: DataFrame) -> DataFrame:
     """Run a bounded stream into files and read what it wrote."""
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
-    if mode == "append":
-        writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
-    else:
-        # Each micro-batch brings the whole result and replaces the one before.
-        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out))
+    writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
     pipeline.finish(writer.option("checkpointLocation", state).trigger(availableNow=True).start())
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -244,24 +267,31 @@ _LIVE = ["Tot sum", "Number", "IAT", "Rate", "flow_byte", "Weight", "Radius"]
 
 @query("stream_microbatch", _live_sql(_LIVE))
 def stream_microbatch(spark, sf):
+    """Three micro-batches cut inside batches of 100: what is incomplete waits for the next."""
     out = scratch_path(spark, "live")
-    run = pipeline.start(packet_stream(spark, sf), pipeline.feature_batches(out), scratch_path(spark, "state"))
-    pipeline.finish(run)
+    whole = pipeline.WholeBatches(pipeline.feature_batches(out), scratch_path(spark, "waiting"))
+    pipeline.finish(pipeline.start(cut_stream(spark, sf), whole, scratch_path(spark, "state")))
+    whole.flush(spark)
     return tidy(spark.read.parquet(out).select("batch_id", "seq", *_LIVE))
 
 
+_STATE_OUT = [*_FLOW_OUT, *FLAG_COUNTERS]
+
+
 @query(
     "stream_flow_state",
-    f"""{KEYED} select seq, count(*) over w as flow_n, cast(sum(frame_len) over w as bigint) as flow_byte,
-      {R("(ts_us - min(ts_us) over w) / 1e6")} as flow_duration, {R("(ts_us - coalesce(lag(ts_us) over w0, 0)) / 1e6")} as flow_idle_time
-    from keyed window w as (partition by day_id, proto, a_ip, a_port, b_ip, b_port order by seq rows unbounded preceding),
-      w0 as (partition by day_id, proto, a_ip, a_port, b_ip, b_port order by seq)""",
+    f"""{KEYED}, flow_state as (select seq, {_FLOW_RUN},
+      {R("coalesce(count(*) over w / nullif((max(ts_us) over w - min(ts_us) over w) / 1e6, 0), 0)")} as "Rate", {_RUN_COUNTERS}
+    from keyed {_FLOW_WINDOWS})
+    select f.seq, {", ".join(f"f.{c}" for c in _FLOW_OUT)}, f."Rate",
+      {", ".join(f"cast(case when k.proto = 6 then f.{c} else 0 end as bigint) as {c}" for c in FLAG_COUNTERS)}
+    from flow_state f join keyed k on f.seq = k.seq""",
 )
 def stream_flow_state(spark, sf):
     from flowprism.functions.packet import filter_ip_arp
 
-    stream = filter_ip_arp(packet_stream(spark, sf))
-    return tidy(_collected(spark, pipeline.flow_state(stream, "day_id", "30 days")))
+    stream = filter_ip_arp(cut_stream(spark, sf))
+    return tidy(_collected(spark, pipeline.flow_state(stream, "day_id", "30 days")).select("seq", "Rate", *_STATE_OUT), _FLOW_DIGITS)
 
 
 @query("stream_detect", f"{EVENTS_SQL} select seq, event_type, network_zone, confidence from event")
@@ -294,7 +324,9 @@ def stream_events_sink(spark, sf):
 
 @query("stream_event_stats", f"{EVENTS_SQL} select batch_id, event_type, count(*) as n from event group by batch_id, event_type")
 def stream_event_stats(spark, sf):
-    return _collected(spark, pipeline.event_stats(event_stream(spark, sf)), mode="complete")
+    out = scratch_path(spark, "stats")
+    pipeline.finish(pipeline.start(event_stream(spark, sf), pipeline.event_stats_batches(out), scratch_path(spark, "state")))
+    return tidy(pipeline.read_event_stats(spark, out))
 
 
 @query(

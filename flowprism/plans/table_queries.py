@@ -234,7 +234,9 @@ def ttl_histogram(spark, sf):
     return tidy(aggregates.value_histogram(rows, "label", "ttl"))
 
 
-_PROFILED = {"src_ip": "string", "dst_ip": "string", "src_port": "int", "tcp_flags": "int", "frame_len": "int"}
+_PROFILED = {name: "bigint" for name in ("seq", "batch_id", "day_id", "ts_us")}
+_PROFILED |= {name: "string" for name in ("src_mac", "dst_mac", "src_ip", "dst_ip")}
+_PROFILED |= {name: "int" for name in ("eth_type", "src_port", "dst_port", "proto", "ttl", "frame_len", "tcp_flags")}
 
 
 @query(
@@ -407,20 +409,20 @@ def confusion_normalised(spark, sf):
     return tidy(metrics.confusion_normalised(scored(spark, sf)))
 
 
-@query(
-    "ovr_metrics",
-    f"""{SCORED} select {R("(sum(tp) + sum(tn)) * 100.0 / (sum(tp) + sum(fp) + sum(fn) + sum(tn))")} as acc,
-      {R("sum(fp) * 100.0 / (sum(fp) + sum(tn))")} as fpr from ovr""",
-)
+_OVR = f"""{R("(sum(tp) + sum(tn)) * 100.0 / (sum(tp) + sum(fp) + sum(fn) + sum(tn))")} as acc,
+      {R("sum(fp) * 100.0 / (sum(fp) + sum(tn))")} as fpr from ovr"""
+
+
+@query("ovr_metrics", f"{SCORED} select {_OVR}")
 def ovr_metrics(spark, sf):
     return tidy(metrics.ovr_metrics(scored(spark, sf)))
 
 
-@query(
-    "macro_prf",
-    f"""{SCORED} select {R("avg(recall) * 100")} as tpr_macro, {R("avg(precision) * 100")} as ppv_macro,
-      {R("avg(f1) * 100")} as f1_macro from prf""",
-)
+_MACRO = f"""{R("avg(recall) * 100")} as tpr_macro, {R("avg(precision) * 100")} as ppv_macro,
+      {R("avg(f1) * 100")} as f1_macro from prf"""
+
+
+@query("macro_prf", f"{SCORED} select {_MACRO}")
 def macro_prf(spark, sf):
     return tidy(metrics.macro_prf(scored(spark, sf)))
 

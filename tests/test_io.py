@@ -112,6 +112,33 @@ def test_stream_features_equal_batch(spark, packets, files, tmp_path):
     assert sorted(map(tuple, live.select(*whole.columns).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
 
 
+def test_batches_cut_by_files_wait_for_the_rest(spark, packets, tmp_path):
+    """Files of 250 packets cut every third batch; 30 packets of the last batch never come."""
+    for part in range(4):
+        low, high = 250 * part, min(250 * (part + 1), 970)
+        packets.where(F.col("seq").between(low, high - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = pipeline.read_packet_stream(spark, str(tmp_path / "in"), packets.schema, max_files=1)
+    out = str(tmp_path / "out")
+    whole = pipeline.WholeBatches(pipeline.feature_batches(out), str(tmp_path / "waiting"))
+    pipeline.finish(pipeline.start(stream, whole, str(tmp_path / "state")))
+    assert spark.read.parquet(out).where("batch_id = 9").count() == 0
+    whole.flush(spark)
+    expected = extract_features(packets.where("seq < 970"), "realtime", "batch_id")
+    live = spark.read.parquet(out).select(*expected.columns)
+    assert sorted(map(tuple, live.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+
+
+def test_flow_state_of_frames_out_of_order():
+    import pandas as pd
+
+    rows = pd.DataFrame({"seq": range(4), "ts_us": [1_000_000, 5_000_000, 3_000_000, 5_000_000], "flow_byte": 10, **{c: 1 for c in pipeline.FLAG_COUNTERS}})
+    whole, end = pipeline._advance_flow(rows, None)
+    assert list(whole["flow_idle_time"]) == [1, 4, 2, 0] and list(whole["flow_duration"]) == [0, 4, 4, 4]
+    first, state = pipeline._advance_flow(rows[:2], None)
+    rest, same = pipeline._advance_flow(rows[2:], state)
+    assert same == end and pd.concat([first, rest]).reset_index(drop=True).equals(whole)
+
+
 def test_flow_state_continues_over_micro_batches(spark, packets, files, tmp_path):
     from flowprism.operators.flows import flow_running
 
