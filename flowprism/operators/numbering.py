@@ -39,11 +39,11 @@ def number_rows(rows: DataFrame, row_id: str, name: str, first: Sequence[str] =
     return rank_rows(rows, [*first, row_id], name, None if bits is None else 1 << bits)[0]
 
 
-def _splitters(values: DataFrame, parts: int) -> DataFrame:
-    """Approximate cut points per key; they only balance the buckets."""
+def _splitters(counts: DataFrame, parts: int) -> DataFrame:
+    """Rows of each key and approximate cut points of its distinct values; they only balance the buckets."""
     cuts = [(i + 1) / parts for i in range(parts - 1)]
-    return values.groupBy("key").agg(
-        F.count(F.lit(1)).alias("rows"),
+    return counts.groupBy("key").agg(
+        F.sum("n").alias("rows"),
         F.array_distinct(F.percentile_approx("value", F.array(*[F.lit(c) for c in cuts]), 10 * parts)).alias("cuts"),
     )
 
@@ -51,17 +51,17 @@ def _splitters(values: DataFrame, parts: int) -> DataFrame:
 def exact_quantiles(values: DataFrame, probs: Sequence[float], parts: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles of ``(key, value)``: columns key, idx, prob, quantile.
 
-    Equal values are counted first, so a hot value is one row. An approximate sketch
-    cuts each key's range into buckets; bucket totals tell which buckets hold the wanted
+    Equal values are counted first and stored, so ``values`` is computed once and a hot
+    value is one row. An approximate sketch of the counted values cuts each key's range into buckets; bucket totals tell which buckets hold the wanted
     positions, and only those buckets are ordered. No key is ever sorted in one task.
     """
     values = values.where(F.col("value").isNotNull())
+    counts = stored(values.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")), "counts")
     if parts is None:
-        largest = values.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        largest = counts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         parts = int(min(4096, max(16, largest // 1_000_000)))
     # Fixed before the exact pass, so both passes see the same cuts.
-    cuts = broadcast_if_small(durable(_splitters(values, parts)), max_rows=10_000)
-    counts = values.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+    cuts = broadcast_if_small(durable(_splitters(counts, parts)), max_rows=10_000)
     placed = counts.join(cuts, "key").withColumn(
         "bucket", F.size(F.filter("cuts", lambda cut: cut < F.col("value")))
     )
