@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowprism.functions.events import EVENT_TEXT, UNKNOWN, UNKNOWN_EVENT
-from flowprism.session import broadcast_if_small
+from flowprism.session import broadcast_if_small, durable
 
 
 def label_join(rows: DataFrame, mapping: dict[str, str] = EVENT_TEXT) -> DataFrame:
@@ -53,7 +53,7 @@ def zone_join(rows: DataFrame, zones: DataFrame, ip: str, name: str = "zone") ->
 
 def attacker_rows(packets: DataFrame, attackers: DataFrame, *, complement: bool = False) -> DataFrame:
     """Packets whose source or destination hardware address is in ``attackers(mac)``."""
-    macs = broadcast_if_small(attackers.select("mac").distinct())
+    macs = broadcast_if_small(durable(attackers.select("mac").distinct()))
     source = macs.select(F.col("mac").alias("_src"))
     target = macs.select(F.col("mac").alias("_dst"))
     # One lookup per end; the list is distinct, so no packet is repeated.
@@ -82,7 +82,7 @@ def segment_range_join(packets: DataFrame, segments: DataFrame, bucket_us: int =
     condition = (F.col("p._bucket") == F.col("s._bucket")) & F.col("p.ts_us").between(
         F.col("s.start_us"), F.col("s.end_us")
     )
-    joined = keyed.join(broadcast_if_small(spread).alias("s"), condition, "left")
+    joined = keyed.join(broadcast_if_small(durable(spread)).alias("s"), condition, "left")
     return joined.select("p.*", F.col("s._name").alias("name")).drop("_bucket")
 
 

@@ -4,12 +4,15 @@ Vectors are hashed into blocks of bounded size inside cells around a bounded set
 pivots. A task compares one query block with one point block as a matrix product and
 emits only each query's own short list, so pairs are never rows. First every query
 meets its home cell, which bounds how far its list can reach; then only the cells that
-the triangle inequality cannot exclude are visited. A kernel without a metric visits
+the triangle inequality cannot exclude are visited: cells are paired and pruned first,
+and only pairs that stay are expanded to blocks and pruned again. Blocks are joined on
+their cells, never on the group alone. A kernel without a metric has one cell and visits
 every block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,9 @@ from flowprism.functions.kernels import block_distances, to_metric
 from flowprism.session import broadcast_if_small, durable
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
+# Pivots grow with the square root of the points between these two.
+LEAST_PIVOTS = 256
+MAX_PIVOTS = 4096
 # Distances equal after rounding count as one step.
 DIGITS = 9
 _METRIC = ("linear", "poly", "rbf", "euclidean")
@@ -64,7 +69,7 @@ def nearest_one(pairs: DataFrame) -> DataFrame:
 
 
 def _pivots(points: DataFrame, rows: int, block_rows: int) -> np.ndarray | None:
-    wanted = min(MAX_PIVOTS, -(-rows // block_rows))
+    wanted = min(-(-rows // block_rows), max(LEAST_PIVOTS, math.isqrt(rows)), MAX_PIVOTS)
     if wanted <= 1:
         return None
     chosen = points.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector")
@@ -91,6 +96,12 @@ def _assign(rows: DataFrame, pivots: np.ndarray | None, kernel: str) -> DataFram
     return rows.mapInPandas(place, f"{schema}, cell int, reach double")
 
 
+def _placed(rows: DataFrame, pivots: np.ndarray | None, kernel: str) -> DataFrame:
+    """Rows in their cells; kept, as sizes, blocks and both phases read them."""
+    placed = _assign(rows, pivots, kernel)
+    return placed if pivots is None else durable(placed)
+
+
 def _blocked(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Split every (grp, cell) into hashed blocks of about ``block_rows`` rows."""
     sizes = rows.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"))
@@ -99,9 +110,30 @@ def _blocked(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     sizes = broadcast_if_small(durable(sizes))
     blocked = rows.join(sizes, ["grp", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     blocked = blocked.drop("parts")
-    return blocked, blocked.groupBy("grp", "cell", "sub").agg(
-        F.max("reach").alias("radius"), F.min("weight").alias("least")
-    )
+    blocks = blocked.groupBy("grp", "cell", "sub").agg(F.max("reach").alias("radius"), F.min("weight").alias("least"))
+    return blocked, durable(blocks)
+
+
+def _side(blocks: DataFrame, side: str) -> DataFrame:
+    """Block or cell columns with the prefix of their side of a comparison."""
+    return blocks.select("grp", *(F.col(c).alias(f"{side}_{c}") for c in blocks.columns if c != "grp"))
+
+
+def _apart(cells: DataFrame, pivots: np.ndarray, kernel: str) -> DataFrame:
+    """``grp, q_cell`` with every other cell ``p_cell`` and the distance of the two pivots, a list per query cell."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(len(batch)):
+                own = batch.iloc[at : at + 1]
+                cell = int(own["q_cell"].iloc[0])
+                far = to_metric(block_distances(pivots[cell : cell + 1], pivots, kernel), kernel)[0]
+                others = np.flatnonzero(np.arange(len(pivots)) != cell)
+                pairs = own.loc[own.index.repeat(len(others))]
+                yield pairs.assign(p_cell=others.astype("int32"), apart=far[others])
+
+    grp = cells.schema["grp"].dataType.simpleString()
+    return cells.select("grp", "q_cell").mapInPandas(measure, f"grp {grp}, q_cell int, p_cell int, apart double")
 
 
 def _compare(queries: DataFrame, points: DataFrame, units: DataFrame, plan: dict) -> DataFrame:
@@ -178,17 +210,19 @@ def neighbours(
     points = points.select("grp", "id", "vector", (F.lit(1.0) if weight is None else weight).alias("weight"))
     pruned = kernel in _METRIC
     pivots = _pivots(points, points.count(), block_rows) if pruned else None
-    q_rows, q_blocks = _blocked(_assign(queries, pivots, kernel), block_rows)
-    p_rows, p_blocks = _blocked(_assign(points, pivots, kernel), block_rows)
+    p_rows, p_blocks = _blocked(_placed(points, pivots, kernel), block_rows)
+    if same:
+        # One table, placed and cut once; the weight belongs to points only.
+        q_rows, q_blocks = p_rows, p_blocks
+    else:
+        q_rows, q_blocks = _blocked(_placed(queries, pivots, kernel), block_rows)
     plan = {"kernel": kernel, "steps": steps, "levels": levels, "same": same, "digits": digits}
 
-    q_side = q_blocks.select("grp", F.col("cell").alias("q_cell"), F.col("sub").alias("q_sub"), F.col("radius").alias("q_radius"))
-    p_side = p_blocks.select(
-        "grp", F.col("cell").alias("p_cell"), F.col("sub").alias("p_sub"), F.col("radius").alias("p_radius"), "least"
-    )
-    unit = F.concat_ws("/", "q_cell", "q_sub", "p_cell", "p_sub", "grp")
-    blocks = q_side.join(p_side, "grp").withColumn("unit", unit)
-    home = _compare(q_rows, p_rows, blocks.where(F.col("q_cell") == F.col("p_cell")), plan)
+    q_side, p_side = _side(q_blocks.drop("least"), "q"), _side(p_blocks, "p")
+    unit = F.concat_ws("/", "q_cell", "q_sub", "p_cell", "p_sub", "grp").alias("unit")
+    at = ["grp", "q_cell", "q_sub", "p_cell", "p_sub", unit]
+    home_units = q_side.join(p_side.withColumn("q_cell", F.col("p_cell")), ["grp", "q_cell"]).select(*at)
+    home = _compare(q_rows, p_rows, home_units, plan)
 
     def finish(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select("i", "j", "d")
@@ -209,24 +243,19 @@ def neighbours(
         .groupBy("grp", "q_cell", "q_sub")
         .agg(F.max(F.coalesce("cut", F.lit(float("inf")))).alias("cut"))
     )
-    apart = to_metric(block_distances(pivots, pivots, kernel), kernel)
-    gaps = queries.sparkSession.createDataFrame(
-        pd.DataFrame(
-            {
-                "q_cell": np.repeat(np.arange(len(apart)), len(apart)).astype("int32"),
-                "p_cell": np.tile(np.arange(len(apart)), len(apart)).astype("int32"),
-                "apart": apart.ravel(),
-            }
-        )
-    )
-    # No point of the far block can be closer than this (slack covers rounding).
+    q_side = durable(q_side.join(reach, ["grp", "q_cell", "q_sub"]))
+    # No point of the far side can be closer than this (slack covers rounding).
     closest = F.greatest(F.col("apart") - F.col("q_radius") - F.col("p_radius"), F.lit(0.0))
-    bound = (closest if kernel == "euclidean" else closest * closest) * F.col("least") * (1 - 1e-9) - 10.0**-digits
-    far_units = (
-        blocks.where(F.col("q_cell") != F.col("p_cell"))
-        .join(F.broadcast(gaps), ["q_cell", "p_cell"])
-        .join(reach, ["grp", "q_cell", "q_sub"])
+    bound = (closest if kernel == "euclidean" else closest * closest) * F.col("p_least") * (1 - 1e-9) - 10.0**-digits
+    q_cells = q_side.groupBy("grp", "q_cell").agg(F.max("q_radius").alias("q_radius"), F.max("cut").alias("cut"))
+    p_cells = p_side.groupBy("grp", "p_cell").agg(F.max("p_radius").alias("p_radius"), F.min("p_least").alias("p_least"))
+    near = (
+        _apart(q_cells, pivots, kernel)
+        .join(q_cells, ["grp", "q_cell"])
+        .join(p_cells, ["grp", "p_cell"])
         .where(bound <= F.col("cut"))
+        .select("grp", "q_cell", "p_cell", "apart")
     )
-    far = _compare(q_rows, p_rows, far_units, plan)
+    far_units = near.join(q_side, ["grp", "q_cell"]).join(p_side, ["grp", "p_cell"]).where(bound <= F.col("cut")).select(*at)
+    far = _compare(q_rows, p_rows, durable(far_units), plan)
     return finish(home.unionByName(far))

@@ -18,6 +18,8 @@ from flowprism.session import durable
 
 STEPS = 5
 DIGITS = 6
+# Rows per block where a query is to prune cells on small tables.
+SMALL_BLOCK = 32
 SHARE = 0.3
 DIM = 64
 
@@ -248,6 +250,14 @@ def knn_rank(spark, sf):
     return tidy(class_lists(spark, sf, "linear").select("i", "j", "d", "pos"))
 
 
+@query("knn_rank_blocks", f"{_fit_sql('linear')} select {_OUT} from lists")
+def knn_rank_blocks(spark, sf):
+    """The same lists with blocks so small that cells are pruned."""
+    train, _ = train_test(spark, sf)
+    lists = kinn.fit_lists(kinn.distinct_nodes(train), STEPS, "linear", digits=DIGITS, block_rows=SMALL_BLOCK)
+    return tidy(lists.select("i", "j", "d", "pos"))
+
+
 @query("k_distance", f"{_fit_sql('linear')} select i, {R('coalesce(max(d) filter (where is_step), -1)')} as k_distance from lists group by i")
 def k_distance(spark, sf):
     return tidy(N.k_distance(class_lists(spark, sf, "linear")))
@@ -265,6 +275,13 @@ def kinn_fit_density(spark, sf):
     return tidy(lists.select("i", "j", "d", "pos"))
 
 
+@query("kinn_fit_density_blocks", f"{_fit_sql('euclidean')}, {_DENSITY} select {_OUT} from dense")
+def kinn_fit_density_blocks(spark, sf):
+    train, _ = train_test(spark, sf)
+    lists = kinn.fit_lists(kinn.distinct_nodes(train), STEPS, "euclidean", "density", digits=DIGITS, block_rows=SMALL_BLOCK)
+    return tidy(lists.select("i", "j", "d", "pos"))
+
+
 _NEAREST_OTHER = """select i, j, {d} as d, pos from (select a.id as i, b.id as j, round({pair}, 6) as d,
   row_number() over (partition by a.id order by round({pair}, 6), b.id) as pos
   from v a join v b on a.class = b.class and a.id <> b.id) x where pos <= 5"""
@@ -386,6 +403,17 @@ def kinn_predict_supervised(spark, sf):
     return tidy(kinn.predict_supervised(fitted(spark, sf, train=train), test))
 
 
+@query(
+    "kinn_predict_supervised_blocks",
+    f"{_fit_sql('rbf')}, {_ROOTS}, {_CLUSTER_MAP}, {_test_sql('rbf')}, {_INN_CHECK}, {_CHOSEN} "
+    "select h.i as id, cast(m.class as bigint) as pred from chosen h join clusters c on c.id = h.j join cmap m on m.cluster = c.cluster",
+)
+def kinn_predict_supervised_blocks(spark, sf):
+    train, test = train_test(spark, sf)
+    model = kinn.fit(train, STEPS, kernel="rbf", digits=DIGITS, block_rows=SMALL_BLOCK)
+    return tidy(kinn.predict_supervised(model, test, block_rows=SMALL_BLOCK))
+
+
 @query(
     "kinn_predict_supervised_nearest",
     f"with {SPLIT}, {_test_sql('rbf')} select i as id, cast(class as bigint) as pred from ranked where pos = 1",
