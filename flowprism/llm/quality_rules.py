@@ -1,11 +1,15 @@
 """Quality rules with risk-controlled cutoffs.
 
-Five statistics of each text (the rules) get, in each stratum, the strictest cutoff whose false rejection
-rate is proven small on labelled holdouts: for a stratum with ``n`` good labelled documents a cutoff may
-reject at most ``k`` of them, where ``P(Binomial(n, risk) <= k) <= confidence / tests``. That is the exact
-(Clopper-Pearson) upper bound being at most ``risk``; ``tests`` counts every stratum, rule and grid point
-looked at (Bonferroni), and ``risk`` is the allowed rate divided by the number of rules, so that all rules
-together reject at most the allowed share of good documents in every stratum with the stated confidence.
+Five statistics of each text (the rules) get, in each stratum, the strictest cutoffs whose false rejection
+rate is proven small on labelled holdouts: with ``n`` good labelled documents all rules together may reject at
+most ``k`` of them, where ``P(Binomial(n, allowed) <= k) <= confidence / strata``. That is the exact
+(Clopper-Pearson) upper bound of the combined rejection being at most ``allowed``, in every stratum at once.
+
+The cutoffs of a stratum are points of one path on which every rule only gets stricter, so the rejected sets are
+nested and the points are tested in order from the loosest, each at the full level, up to the first that fails
+(fixed sequence). A quarter of the good labels lays the path: all rules come down together from no cutoff, each no further than
+where it rejects none of that quarter, then to where it rejects growing shares of it. The other three quarters
+prove the points and are not used for the path. A stratum without labels in the first quarter takes the diagonal.
 
 Only rows whose crc32 of the id falls into three quarters serve as holdout labels; a cutoff is the same
 whatever the rest of the corpus holds. Null texts are empty; null ids have no label; a null stratum is one
@@ -29,6 +33,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: A rule rejects when its value is above the cutoff; values are shares of words or characters.
 RULES = ("symbol_share", "upper_share", "dup_line_share", "repeat_share", "bar_share")
 GRID = tuple(round(0.02 * i, 2) for i in range(1, 50))
+#: Shares of the path's own labels that each rule may reject at the last points of a path.
+PATH_SHARES = tuple(round(0.0025 * i, 4) for i in range(1, 41))
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -158,41 +164,66 @@ def most_rejections(n: int, risk: float, level: float) -> int:
     return k
 
 
+def _paths(laid: DataFrame) -> DataFrame:
+    """``stratum, paths``: for each rule the grid place at each point of the stratum's path; the place past the grid is no cutoff."""
+    last = len(GRID)
+    values = laid.select("stratum", F.posexplode("below").alias("rule", "below"))
+    counts = values.groupBy("stratum", "rule", "below").agg(F.count("*").alias("n"))
+    bins = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("below", "n")).alias("bins"))
+    lost = lambda i: F.aggregate(
+        F.filter("bins", lambda b: b["below"] > i), F.lit(0).cast("bigint"), lambda total, b: total + b["n"]
+    )
+    losses = bins.withColumn("losses", F.transform(F.sequence(F.lit(0), F.lit(last)), lost))
+    place = lambda share: F.array_min(F.filter(F.sequence(F.lit(0), F.lit(last)), lambda i: F.get("losses", i) <= share * F.col("n")))
+    placed = losses.withColumn("none", place(F.lit(0.0)))
+    down = F.transform(F.sequence(F.lit(last), F.lit(0), F.lit(-1)), lambda i: F.greatest(i, F.col("none")))
+    further = F.transform(F.array(*map(F.lit, PATH_SHARES)), place)
+    path = placed.select("stratum", F.struct("rule", F.concat(down, further).alias("path")).alias("p"))
+    return path.groupBy("stratum").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["path"]).alias("paths"))
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame, allowed: float = 0.05, confidence: float = 0.05) -> DataFrame:
-    """``stratum, rule, cutoff, n_good, n_rejected``: the strictest proven cutoff, null where none is.
+    """``stratum, rule, cutoff, n_good, n_rejected``: the strictest proven cutoffs, null where none are.
 
-    The holdout counts are a histogram over strata, rules and grid points, aggregated by Spark; only the
-    bound on rejections of each stratum's size is computed on the driver.
+    ``n_good`` and ``n_rejected`` (by all rules together) count the rows that prove. The holdout counts are
+    histograms over strata and grid points, aggregated by Spark; only the bound on rejections of each
+    stratum's size is computed on the driver.
     """
     spark = stats.sparkSession
     held = labels.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & (F.col("quality") == 1)).select("doc_id").distinct()
-    good = stats.join(held, "doc_id", "left_semi")
-    values = good.select("stratum", F.posexplode(F.array(*RULES)).alias("rule", "value"))
     grid = F.array(*(F.lit(g) for g in GRID))
     # The number of grid points below a value is the number of cutoffs that reject its document.
-    points = values.select("stratum", "rule", F.size(F.filter(grid, lambda g: F.col("value") > g)).alias("below"))
-    counts = points.groupBy("stratum", "rule", "below").agg(F.count("*").alias("n"))
-    per_rule = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n_good"), F.collect_list(F.struct("below", "n")).alias("bins"))
-    per_rule = stored(per_rule)
-    sizes = [r[0] for r in per_rule.select("n_good").distinct().limit(100_001).collect()]
+    passes = lambda rule: F.size(F.filter(grid, lambda g: F.col(rule) > g))
+    below = F.array(*map(passes, RULES))
+    lays = F.floor(F.crc32(F.col("doc_id").cast("string")) / 4) % 4 == 0
+    good = stored(stats.join(held, "doc_id", "left_semi").select("stratum", lays.alias("lays"), below.alias("below")))
+    paths = stored(_paths(good.where("lays"))).withColumnRenamed("stratum", "_of")
+    small = paths.limit(10_001).count() <= 10_000
+    diagonal = F.array_repeat(F.concat(F.sequence(F.lit(len(GRID)), F.lit(0), F.lit(-1)), F.array_repeat(F.lit(0), len(PATH_SHARES))), len(RULES))
+    joined = lambda rows: rows.join(F.broadcast(paths) if small else paths, F.col("stratum").eqNullSafe(F.col("_of")), "left").withColumn("paths", F.coalesce("paths", diagonal))
+    # The point of the path from which on any rule rejects a document: a path only comes down.
+    points = len(GRID) + 1 + len(PATH_SHARES)
+    first = lambda r: F.size(F.filter(F.get("paths", F.lit(r)), lambda c: c >= F.get("below", F.lit(r))))
+    proving = joined(good.where(~F.col("lays"))).select("stratum", F.least(*(first(r) for r in range(len(RULES)))).alias("from"))
+    counts = proving.groupBy("stratum", "from").agg(F.count("*").alias("n"))
+    strata = stored(counts.groupBy("stratum").agg(F.sum("n").alias("n_good"), F.collect_list(F.struct("from", "n")).alias("bins")))
+    sizes = [r[0] for r in strata.select("n_good").distinct().limit(100_001).collect()]
     if len(sizes) > 100_000:
         raise ValueError("over 100,000 different stratum sizes: use a coarser stratum")
-    tests = max(1, per_rule.count() * len(GRID))
-    bounds = spark.createDataFrame(
-        [(int(n), most_rejections(int(n), allowed / len(RULES), confidence / tests)) for n in sizes], "n_good bigint, most bigint"
+    tests = max(1, strata.count())
+    bounds = spark.createDataFrame([(int(n), most_rejections(int(n), allowed, confidence / tests)) for n in sizes], "n_good bigint, most bigint")
+    lost = lambda at: F.aggregate(
+        F.filter("bins", lambda b: b["from"] <= at), F.lit(0).cast("bigint"), lambda total, b: total + b["n"]
     )
-    places = F.sequence(F.lit(0), F.lit(len(GRID) - 1))
-    lost = lambda i: F.aggregate(
-        F.filter("bins", lambda b: b["below"] > i), F.lit(0).cast("bigint"), lambda total, b: total + b["n"]
-    )
-    chosen = per_rule.join(bounds, "n_good").withColumn("at", F.array_min(F.filter(places, lambda i: lost(i) <= F.col("most"))))
-    return chosen.select(
+    passed = F.filter(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: lost(i) <= F.col("most"))
+    chosen = joined(strata.join(bounds, "n_good").withColumn("at", F.array_max(passed)))
+    return chosen.withColumn("n_rejected", F.when(F.col("at").isNotNull(), lost(F.col("at")))).select(
         "stratum",
-        F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1).alias("rule"),
-        F.get(grid, F.col("at")).alias("cutoff"),
-        "n_good",
-        F.when(F.col("at").isNotNull(), lost(F.col("at"))).alias("n_rejected"),
-    )
+        F.posexplode(F.array(*map(F.lit, RULES))).alias("_rule", "rule"),
+        "paths", "at", "n_good", "n_rejected",
+    ).select(
+        "stratum", "rule", F.get(grid, F.get(F.get("paths", F.col("_rule")), F.col("at"))).alias("cutoff"), "n_good", "n_rejected"
+    )
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", allowed: float = 0.05, confidence: float = 0.05) -> DataFrame:
