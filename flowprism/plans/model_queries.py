@@ -17,6 +17,8 @@ from flowprism.plans.registry import query, table
 from flowprism.session import durable
 
 STEPS = 5
+# Step counts of the sweep: that of the other queries and the default of a run.
+SWEEP_STEPS = (STEPS, 100)
 DIGITS = 6
 # Rows per block where a query is to prune cells on small tables.
 SMALL_BLOCK = 32
@@ -664,4 +666,4 @@ def experiment_sweep(spark, sf):
     named = F.when(F.col("class") == 0, L.NORMAL).otherwise(F.concat(F.lit("class_"), F.col("class").cast("string")))
     rows = durable(vectors(spark, sf).select("id", named.alias("label"), "vector"))
     runs = [("supervised", []), ("oneclass", []), ("novelty", ["class_9"])]
-    return experiments.sweep(rows, runs, kernels=["rbf"], scalers=["standard"], steps=[STEPS])
+    return experiments.sweep(rows, runs, kernels=(*K.KERNELS, "euclidean"), scalers=scaling.KINDS, steps=SWEEP_STEPS)
