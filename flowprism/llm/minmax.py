@@ -14,7 +14,8 @@ equal sets are one class and travel as one representative, and buckets with the
 For leaders, candidates of sizes that cannot reach the threshold are dropped exactly, and those whose
 signatures agree in under ``FLOOR`` of their positions (eight standard deviations below the threshold) are
 not confirmed; should such a pair be a link, step 2 still finds it. A pair at the threshold shares no band with probability
-(1 - 0.8^6)^42, about 3e-6.
+(1 - 0.8^6)^42, about 3e-6, for long texts. Minimum and maximum of short ones are not independent: with 4 of 5 shingles
+shared it is (1 - 0.6^3)^42, about 3.6e-5, and such a pair may never be compared.
 
 Null or wordless texts have the empty set and are linked with nothing. Rows with a null id are kept
 unlinked. A repeated id counts as one document with the rows' sets each in its class; all its rows stay.
