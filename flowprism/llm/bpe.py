@@ -8,8 +8,7 @@ the vocabulary, computed once), which gives the same result in fewer rounds. Dec
 vocabulary and aggregates the bytes in token order.
 
 Rounds work on at most ``WORDS_PER_QUERY`` words; encoded words are kept per Python worker, up to
-``CACHED_WORDS``. Decoded bytes are compared with the text, so a clash of 64-bit word hashes cannot pass.
-No shuffle takes place. Null and empty texts have no tokens; repeated rows are encoded like any other; other
+``CACHED_WORDS``, under their bytes. Decoded bytes are compared with the text. No shuffle takes place. Null and empty texts have no tokens; repeated rows are encoded like any other; other
 columns pass through, and columns named ``ids`` or ``decoded`` are replaced.
 """
 
@@ -19,7 +18,6 @@ import base64
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +31,7 @@ CACHED_WORDS = 1_500_000
 MOST_TOKENS = 2_000_000
 LETTER, NUMBER, WHITE, OTHER = 0, 1, 2, 3
 
-#: The pre-token pattern whose cuts ``cut`` computes; other patterns are refused.
+#: The pre-token pattern whose cuts ``cut`` computes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Short words: the leftmost pair of minimum rank, by joins on the position of the next token.
@@ -81,7 +79,8 @@ with recursive rows(word, pos, token, live) as (
 select word, token from rows where not live order by word, pos
 """
 
-#: One thread aggregates rows in the order in which the sort hands them on.
+#: One thread aggregates rows in the order in which the sort hands them on; an order inside the aggregate sorts
+#: every document apart and takes three times as long. The result is compared with the text.
 DECODE = """
 select document, string_agg(bytes, '') as bytes
 from (select t.document, v.bytes from tokens t join vocabulary v on v.token = t.token order by t.pos)
@@ -180,16 +179,16 @@ class Coder:
         tokens = list(vocabulary.ranks.items())
         # Latin-1 text stands for bytes: one character per byte, so string_agg can join them.
         self._put("vocabulary", {"token": pa.array([r for _, r in tokens], pa.int32()), "bytes": pa.array([b.decode("latin-1") for b, _ in tokens])})
-        self.forget(0)
+        self.forget()
 
     def _put(self, name: str, columns: dict) -> None:
         self.con.register("_new", pa.table(columns))
         self.con.execute(f"create or replace temp table {name} as select * from _new")
         self.con.unregister("_new")
 
-    def forget(self, salt: int) -> None:
-        self.salt = np.uint64(salt)
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
@@ -232,30 +231,24 @@ class Coder:
         words = cut(chunk, self.vocabulary.classes)
         if not len(words):
             return np.zeros(0, np.int32), np.zeros(chunk.n + 1, np.int64)
-        codes, keys = pd.factorize(T.word_hashes(chunk, words) + self.salt)
-        first = np.full(len(keys), -1, np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        place = np.searchsorted(self.keys, keys)
-        known = (place < len(self.keys)) & (self.keys[np.minimum(place, max(0, len(self.keys) - 1))] == keys) if len(self.keys) else np.zeros(len(keys), bool)
-        new = np.flatnonzero(~known)
-        if len(new):
-            data = chunk.data.tobytes()
-            found = self.encode_words([data[words.starts[i] : words.ends[i]] for i in first[new]])
-            self._remember(keys[new], found)
-            place = np.searchsorted(self.keys, keys)
+        codes, distinct = T.codes(chunk, words)
+        distinct = distinct.to_pylist()
+        new = [word for word in distinct if word not in self.known]
+        if new:
+            self._remember(new, self.encode_words(new))
+        place = np.array([self.known[word] for word in distinct], np.int64)
         at, size = self.at[place], self.size[place]
         each = size[codes]
         total = np.concatenate([[0], np.cumsum(each)])
         ids = self.flat[np.repeat(at[codes] - total[:-1], each) + np.arange(total[-1])]
         return ids, total[words.first]
 
-    def _remember(self, keys: np.ndarray, found: list[np.ndarray]) -> None:
+    def _remember(self, words: list[bytes], found: list[np.ndarray]) -> None:
         size = np.array([len(f) for f in found], np.int64)
         at = len(self.flat) + np.concatenate([[0], np.cumsum(size)[:-1]])
+        self.known.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
         self.flat = np.concatenate([self.flat, *found])
-        keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], at[order], size[order]
+        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """Bytes of each document from its ids."""
@@ -270,15 +263,13 @@ class Coder:
         return out
 
     def round_trip(self, chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        if len(self.keys) > CACHED_WORDS:
-            self.forget(int(self.salt))
-        for salt in range(4):
-            ids, starts = self.encode(chunk)
-            decoded = self.decode(ids, starts)
-            if b"".join(decoded) == chunk.data.tobytes():
-                return ids, starts, decoded
-            self.forget(int(self.salt) + 0x9E3779B9 * (salt + 1))
-        raise RuntimeError("decoded bytes differ from the text")
+        if len(self.known) > CACHED_WORDS:
+            self.forget()
+        ids, starts = self.encode(chunk)
+        decoded = self.decode(ids, starts)
+        if b"".join(decoded) != chunk.data.tobytes():
+            raise RuntimeError("decoded bytes differ from the text")
+        return ids, starts, decoded
 
 
 _CODERS: dict[str, Coder] = {}

@@ -50,14 +50,15 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _repeated(words: T.Words, hashes: np.ndarray, length: int = 5) -> np.ndarray:
+def _repeated(words: T.Words, codes: np.ndarray, length: int = 5) -> np.ndarray:
     """Words covered by a window of ``length`` words that occurs at least twice in its document."""
     n = len(words)
     starts = T.inside(words, length)
     cover = np.zeros(n + 1, np.int64)
     if len(starts):
-        document = words.documents()[starts].astype(np.uint64)
-        key = T.Spans(hashes)(starts, starts + length) + T.mix(document + T.U(1))
+        key = words.documents()[starts]
+        for k in range(length):
+            key = T.paired(key, codes[starts + k])
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         twice = np.zeros(len(starts), bool)
@@ -68,7 +69,7 @@ def _repeated(words: T.Words, hashes: np.ndarray, length: int = 5) -> np.ndarray
     return np.cumsum(cover)[:n] > 0
 
 
-def _duplicate_lines(chunk: T.Chunk, words: T.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _duplicate_lines(chunk: T.Chunk, words: T.Words) -> tuple[np.ndarray, np.ndarray]:
     """Lines with a word, and those equal (as characters) to an earlier line of the same document."""
     data, n = chunk.data, len(chunk.data)
     if not n:
@@ -83,7 +84,7 @@ def _duplicate_lines(chunk: T.Chunk, words: T.Words, hashes: np.ndarray) -> tupl
     counts = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     starts, ends, document = starts[counts], ends[counts], document[counts]
     lines = T.Words(starts, ends, np.searchsorted(starts, chunk.offsets))
-    key = T.word_hashes(chunk, lines) + T.mix(document.astype(np.uint64) + T.U(1))
+    key = T.paired(document, T.codes(chunk, lines)[0])
     order = np.argsort(key, kind="stable")
     later = np.zeros(len(key), bool)
     if len(key) > 1:
@@ -94,10 +95,9 @@ def _duplicate_lines(chunk: T.Chunk, words: T.Words, hashes: np.ndarray) -> tupl
 def chunk_stats(chunk: T.Chunk) -> dict[str, np.ndarray]:
     """Counts for each document of a chunk."""
     words = T.split(chunk)
-    hashes = T.word_hashes(chunk, words)
     lead = LEADS[chunk.data]
     solid = ~T.SPACE[chunk.data]
-    n_lines, n_dup = _duplicate_lines(chunk, words, hashes)
+    n_lines, n_dup = _duplicate_lines(chunk, words)
     upper = (chunk.data >= 65) & (chunk.data <= 90)
     lower = (chunk.data >= 97) & (chunk.data <= 122)
     ups, lows = _spans(upper, words), _spans(lower, words)
@@ -107,7 +107,7 @@ def chunk_stats(chunk: T.Chunk) -> dict[str, np.ndarray]:
         "word_chars": _sums(lead & solid, chunk.offsets),
         "n_symbols": _sums(SYMBOL[chunk.data], chunk.offsets),
         "n_dup_lines": n_dup,
-        "n_repeat_words": _sums(_repeated(words, hashes), words.first),
+        "n_repeat_words": _sums(_repeated(words, T.codes(chunk, words)[0]), words.first),
         "n_lines": n_lines,
         "upper_words": _sums((ups > 1) & (lows == 0), words.first),
         "bar_words": _sums(bar, words.first),

@@ -1,7 +1,9 @@
-"""Whole texts as numpy arrays: words, word hashes and hashes of word spans.
+"""Whole texts as numpy arrays: words, exact codes of words, word hashes and hashes of word spans.
 
 Tasks get Arrow batches from Spark; texts are worked on in chunks of a few MB of UTF-8, never cut
-inside a document. Words are ``[^\\x20\\x09-\\x0D]+``. Hashes are 64 bits wide, the same on every machine.
+inside a document. Words are ``[^\\x20\\x09-\\x0D]+``. Equality inside a chunk is decided on bytes (``codes`` and
+``paired``). Across tasks a word is its 64-bit SipHash-2-4, the same on every machine, and a span of words is named
+by mixing the names of the two blocks of 2^k words that cover it: no sums, so no order of words cancels out.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -21,27 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 5
-_SPAN = 0xD1342543DE82EF95
-_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=np.uint64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64; the longest so far is kept, up to the chunk size."""
-    base %= 1 << 64
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES + (1 << 16)), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if len(have) <= 4 * CHUNK_BYTES:
-            _POWERS[base] = have
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+_WORD_KEY = "flowprism-words0"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,29 +106,63 @@ def split(chunk: Chunk) -> Words:
     return Words(starts, ends, np.searchsorted(starts, chunk.offsets))
 
 
-def word_hashes(chunk: Chunk, words: Words, data: np.ndarray | None = None) -> np.ndarray:
-    """A hash for each word, from prefix sums over the bytes of the chunk."""
+def codes(chunk: Chunk, words: Words, data: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array]:
+    """For each word (or other byte span, none of which overlap) the index of its bytes among the distinct ones."""
     data = chunk.data if data is None else data
     if not len(words):
+        return np.zeros(0, np.int32), pa.array([], pa.large_binary())
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[words.starts] += 1
+    edges[words.ends] -= 1
+    offsets = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(words.ends - words.starts, out=offsets[1:])
+    body = data[np.cumsum(edges[:-1], dtype=np.int8) > 0]
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def hash_bytes(distinct: pa.Array) -> np.ndarray:
+    """SipHash-2-4 of each byte string."""
+    if not len(distinct):
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers(_BASE, len(data)), out=total[1:])
-    raw = (total[words.ends] - total[words.starts]) * powers(inverse(_BASE), len(data))[words.starts]
-    return mix(raw + (words.ends - words.starts).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
+    return pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), hash_key=_WORD_KEY, categorize=False).astype(np.uint64, copy=False)
+
+
+def word_hashes(chunk: Chunk, words: Words, data: np.ndarray | None = None) -> np.ndarray:
+    """A hash for each word, computed once for each distinct word of the chunk."""
+    at, distinct = codes(chunk, words, data)
+    return hash_bytes(distinct)[at]
+
+
+def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Codes of the pairs of two code columns: equal exactly where both are (codes are below 2^32)."""
+    return pd.factorize((left.astype(np.uint64) << U(32)) | right.astype(np.uint64))[0]
 
 
 class Spans:
-    """Hashes of any spans ``[i, j)`` of a sequence of hashes, from prefix sums."""
+    """Hashes of any spans ``[i, j)`` of a sequence of hashes.
+
+    Level k names every block of 2^k places by its two halves. A span is named by its length and the two
+    blocks of the largest level that cover it, from its start and to its end.
+    """
 
     def __init__(self, hashes: np.ndarray, salt: int = 0):
-        n = len(hashes)
-        self.base = (_SPAN + 8 * salt) | 5
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(hashes + U(salt)) * powers(self.base, n + 1)[:n], out=self.total[1:])
-        self.back = powers(inverse(self.base), n + 1)
+        self.levels = [mix(hashes + mix(np.array([salt + 1], np.uint64)))]
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            below, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(mix(mix(below[: max(0, len(below) - half)]) + below[half:]))
+        return self.levels[k]
 
     def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return mix((self.total[j] - self.total[i]) * self.back[i] + (j - i).astype(np.uint64))
+        length = j - i
+        out = mix(length.astype(np.uint64))
+        size = np.frexp(length.astype(np.float64))[1] - 1
+        for k in np.unique(size[length > 0]).tolist():
+            own, block = size == k, self.level(k)
+            out[own] = mix(mix(block[i[own]] + out[own]) + block[j[own] - (1 << k)])
+        return out
 
 
 def inside(words: Words, length: int) -> np.ndarray:
