@@ -5,34 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowprism.session import durable
+from flowprism.session import stored
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, root`` for every node; root is the smallest id in its component.
 
-    ``edges(i, j)`` holds both directions. Each round takes the smallest root among a
-    node's neighbours and then jumps to the root's own root, so long chains shrink
-    quickly. Roots only ever get smaller, so the rounds end; each one is checkpointed.
+    ``edges(i, j)`` holds both directions. Every round gives each node that still has edges the neighbour (or itself)
+    that comes first in a random order of the round, and rewrites the edges to these representatives: equal ones
+    become one, those inside a representative vanish, and finished components leave. On average at least a
+    third of the nodes goes in a round, whatever the graph looks like, so the edges shrink and the rounds grow with
+    the logarithm of the largest component. The rounds' tables are then followed from the last to the first.
     """
-    edges = durable(edges.select("i", "j").where(F.col("i") != F.col("j")).distinct())
-    roots = durable(nodes.select("id", F.col("id").alias("root")))
-    changed = 1
-    while changed:
-        around = (
-            edges.join(roots.select(F.col("id").alias("j"), F.col("root").alias("near")), "j")
-            .groupBy(F.col("i").alias("id"))
-            .agg(F.min("near").alias("near"))
-        )
-        hooked = roots.join(around, "id", "left").select(
-            "id", F.col("root").alias("old"), F.least("root", "near").alias("root")
-        )
-        # Roots also learn what their members found, then everyone jumps once.
-        found = hooked.groupBy(F.col("old").alias("id")).agg(F.min("root").alias("best"))
-        best = hooked.join(found, "id", "left").select("id", "old", F.least("root", "best").alias("root"))
-        jump = best.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        jumped = best.join(jump, "root").select("id", "old", F.least("root", "above").alias("root"))
-        step = durable(jumped)
-        changed = step.where(F.col("root") != F.col("old")).limit(1).count()
-        roots = step.select("id", "root")
-    return roots
+    left = stored(edges.select("i", "j").where(F.col("i") != F.col("j")).distinct(), "edges")
+    rounds = []
+    while left.limit(1).count():
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        first = left.groupBy("i").agg(F.min(order("j")).alias("near"))
+        chosen = stored(first.select("i", F.least("near", order("i"))["id"].alias("to")), "chosen")
+        rounds.append(chosen)
+        far = chosen.select(F.col("i").alias("j"), F.col("to").alias("to_j"))
+        moved = left.join(chosen, "i").join(far, "j").where(F.col("to") != F.col("to_j"))
+        left = stored(moved.select(F.col("to").alias("i"), F.col("to_j").alias("j")).distinct(), "edges")
+    ends = None
+    for chosen in reversed(rounds):
+        if ends is not None:
+            after = ends.select(F.col("i").alias("to"), F.col("to").alias("end"))
+            chosen = chosen.join(after, "to", "left").select("i", F.coalesce("end", "to").alias("to"))
+        ends = chosen
+    if ends is None:
+        return nodes.select("id", F.col("id").alias("root"))
+    ends = stored(ends, "ends")
+    least = ends.groupBy("to").agg(F.min("i").alias("root"))
+    roots = ends.join(least, "to").select(F.col("i").alias("id"), "root")
+    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))

@@ -135,11 +135,15 @@ def inn_check(ranked: DataFrame, model: Kinn, test: DataFrame) -> DataFrame:
     at_train = number_rows(model.members, "id", "at", first=["class"]).select(
         "at", F.col("node").alias("n"), (F.col("id") == F.col("node")).alias("leads")
     )
+    return at_own_place(ranked, model, at_test, at_train)
+
+
+def at_own_place(ranked: DataFrame, model: Kinn, at_test: DataFrame, at_train: DataFrame) -> DataFrame:
+    """``inn_check`` with the places of the test rows ``(i, at)`` and the training rows ``(at, n, leads)`` given."""
     # The last step of a list holds one point only, the leading copy.
-    listed = model.lists.select(
-        F.col("i").alias("j"), F.col("j").alias("n"), (F.col("is_step") & (F.col("step") == model.steps)).alias("one")
-    )
-    placed = ranked.join(at_test, "i").join(at_train, "at")
+    one = F.col("is_step") & (F.col("step") == model.steps)
+    listed = model.lists.select(F.col("i").alias("j"), F.col("j").alias("n"), one.alias("one"))
+    placed = ranked.select("i", "j", "d").join(at_test, "i").join(at_train, "at")
     return placed.join(listed, ["j", "n"]).where(~F.col("one") | F.col("leads")).select("i", "j", "d")
 
 

@@ -209,7 +209,9 @@ def neighbours(
     queries = queries.select("grp", "id", "vector", F.lit(1.0).alias("weight"))
     points = points.select("grp", "id", "vector", (F.lit(1.0) if weight is None else weight).alias("weight"))
     pruned = kernel in _METRIC
-    pivots = _pivots(points, points.count(), block_rows) if pruned else None
+    # Cells are for large groups; many small ones are compared as they are.
+    largest = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    pivots = _pivots(points, largest, block_rows) if pruned else None
     p_rows, p_blocks = _blocked(_placed(points, pivots, kernel), block_rows)
     if same:
         # One table, placed and cut once; the weight belongs to points only.

@@ -6,8 +6,9 @@ MLlib model and is inlined into the projection that applies it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,15 @@ class Scaler:
             return _to_normal(rows, vector, self.quantiles)
         return rows.withColumn(vector, self.expression(F.col(vector)))
 
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        """The scaled rows of a matrix."""
+        if self.kind == "quantile_normal":
+            return _normal_scores(x, np.asarray(self.quantiles))
+        if self.kind == "l2":
+            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            return x / np.where(norm == 0, 1.0, norm)
+        return (x - np.asarray(self.center)) / np.asarray(self.spread)
+
     def expression(self, vector: Column) -> Column:
         if self.kind == "l2":
             norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
@@ -108,25 +118,61 @@ def fit_scaler(rows: DataFrame, kind: str, vector: str = "vector") -> Scaler:
     return Scaler(kind, list(stats["a"]), _nonzero(b - a for a, b in zip(stats["a"], stats["b"], strict=True)))
 
 
-def _to_normal(rows: DataFrame, vector: str, quantiles: list[list[float]]) -> DataFrame:
+def fit_scalers(rows: DataFrame, kinds: Sequence[str], by: str, vector: str = "vector") -> dict[tuple[int, str], Scaler]:
+    """A scaler for every kind and value of the integer column ``by``: as ``fit_scaler`` on its rows, in three passes for all."""
+    if unknown := set(kinds) - set(KINDS):
+        raise ValueError(f"unknown scaler {min(unknown)!r}")
+    size = dimension(rows, vector)
+    item = [F.col(vector)[i] for i in range(size)]
+    columns = {"avg": F.avg, "dev": F.stddev_pop, "least": F.min, "most": F.max}
+    stats = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.array(*[f(x) for x in item]).alias(name) for name, f in columns.items()])
+    stats = {r[by]: r for r in stats.collect()}
+    grids = {run: np.linspace(0, 1, min(QUANTILES, r["n"])).tolist() for run, r in stats.items()} if "quantile_normal" in kinds else {}
+    probs = sorted({0.25, 0.5, 0.75, *(p for grid in grids.values() for p in grid)}) if {"robust", "quantile_normal"} & set(kinds) else []
+    found: dict[int, np.ndarray] = {run: np.zeros((size, len(probs))) for run in stats}
+    if probs:
+        values = rows.select(F.col(by), F.posexplode(vector).alias("pos", "value")).select((F.col(by) * size + F.col("pos")).alias("key"), "value")
+        # runs x dimensions x probabilities numbers: the fitted models themselves
+        for r in exact_quantiles(values, probs).collect():
+            found[r["key"] // size][r["key"] % size, r["idx"]] = r["quantile"]
+    at = {p: k for k, p in enumerate(probs)}
+    out = {}
+    for (run, r), kind in product(stats.items(), kinds):
+        if kind == "standard":
+            out[run, kind] = Scaler(kind, list(r["avg"]), _nonzero(r["dev"]))
+        elif kind == "minmax":
+            out[run, kind] = Scaler(kind, list(r["least"]), _nonzero(b - a for a, b in zip(r["least"], r["most"], strict=True)))
+        elif kind == "robust":
+            low, middle, high = (found[run][:, at[p]].tolist() for p in (0.25, 0.5, 0.75))
+            out[run, kind] = Scaler(kind, middle, _nonzero(b - a for a, b in zip(low, high, strict=True)))
+        elif kind == "quantile_normal":
+            out[run, kind] = Scaler(kind, quantiles=found[run][:, [at[p] for p in grids[run]]].tolist())
+        else:
+            out[run, kind] = Scaler(kind)
+    return out
+
+
+def _normal_scores(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Empirical distribution by interpolation (ties take the middle), then probit."""
-    table = np.asarray(quantiles)
     grid = np.linspace(0, 1, table.shape[1])
     bound = probit(np.array([1 - CLIP]))[0]
+    p = np.empty_like(x)
+    for d in range(x.shape[1]):
+        up = np.interp(x[:, d], table[d], grid)
+        down = np.interp(-x[:, d], -table[d][::-1], -grid[::-1])
+        p[:, d] = 0.5 * (up - down)
+        p[x[:, d] <= table[d][0], d] = 0.0
+        p[x[:, d] >= table[d][-1], d] = 1.0
+    return np.clip(probit(np.clip(p, CLIP, 1 - CLIP)), -bound, bound)
+
+
+def _to_normal(rows: DataFrame, vector: str, quantiles: list[list[float]]) -> DataFrame:
+    table = np.asarray(quantiles)
 
     def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = np.vstack(batch[vector].to_numpy())
-                p = np.empty_like(x)
-                for d in range(x.shape[1]):
-                    up = np.interp(x[:, d], table[d], grid)
-                    down = np.interp(-x[:, d], -table[d][::-1], -grid[::-1])
-                    p[:, d] = 0.5 * (up - down)
-                    p[x[:, d] <= table[d][0], d] = 0.0
-                    p[x[:, d] >= table[d][-1], d] = 1.0
-                scaled = np.clip(probit(np.clip(p, CLIP, 1 - CLIP)), -bound, bound)
-                batch = batch.assign(**{vector: list(scaled)})
+                batch = batch.assign(**{vector: list(_normal_scores(np.vstack(batch[vector].to_numpy()), table))})
             yield batch
 
     return rows.mapInPandas(scale, rows.schema)

@@ -663,7 +663,14 @@ def oneclass_compare(spark, sf):
 
 @query("experiment_sweep")
 def experiment_sweep(spark, sf):
+    """The whole grid; a threshold map is told as ``class:step of the grid``."""
     named = F.when(F.col("class") == 0, L.NORMAL).otherwise(F.concat(F.lit("class_"), F.col("class").cast("string")))
-    rows = durable(vectors(spark, sf).select("id", named.alias("label"), "vector"))
+    rows = vectors(spark, sf).select("id", named.alias("label"), "vector")
+    key = F.pmod(F.col("id") * F.lit(2654435761) + 42, F.lit(1 << 32))
     runs = [("supervised", []), ("oneclass", []), ("novelty", ["class_9"])]
-    return experiments.sweep(rows, runs, kernels=(*K.KERNELS, "euclidean"), scalers=scaling.KINDS, steps=SWEEP_STEPS)
+    out = experiments.sweep(rows, runs, kernels=(*K.KERNELS, "euclidean"), scalers=scaling.KINDS, steps=SWEEP_STEPS, key=key, digits=DIGITS)
+    entries = F.transform(
+        F.array_sort(F.map_entries("threshold")),
+        lambda t: F.concat_ws(":", t["key"].cast("string"), F.round((t["value"] - threshold.LOW) * ((threshold.STEPS - 1) / (threshold.HIGH - threshold.LOW))).cast("int").cast("string")),
+    )
+    return tidy(out.withColumn("thresholds", F.array_join(entries, ",")).drop("seed", "drop_cls", "threshold"))
