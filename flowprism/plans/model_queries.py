@@ -14,6 +14,7 @@ from flowprism.operators.split import decode_labels, encode_labels, fit_labels,
 from flowprism.plans.packet_queries import _LABELLED as LABELLED
 from flowprism.plans.packet_queries import LABEL_SQL, WITH, R, ip_arp, labelled, tidy
 from flowprism.plans.registry import query, table
+from flowprism.plans.sweep_sql import sweep_sql
 from flowprism.session import durable
 
 STEPS = 5
@@ -661,7 +662,7 @@ def oneclass_compare(spark, sf):
     return baselines.oneclass_compare(train.where(F.col("class") == 0), rows)
 
 
-@query("experiment_sweep")
+@query("experiment_sweep", sweep_sql(SPLIT, _probit_sql("p"), R, (*K.KERNELS, "euclidean"), SWEEP_STEPS, DIGITS))
 def experiment_sweep(spark, sf):
     """The whole grid; a threshold map is told as ``class:step of the grid``."""
     named = F.when(F.col("class") == 0, L.NORMAL).otherwise(F.concat(F.lit("class_"), F.col("class").cast("string")))

@@ -1,32 +1,65 @@
-"""The registered sweep covers its grid, and stored tables give what single runs give."""
+"""The keyed sweep gives what single runs give, point by point."""
 
-from flowprism.functions import kernels
-from flowprism.operators import experiments, scaling
-from flowprism.plans import catalog
+import pytest
+from pyspark.sql import functions as F
+
+from flowprism.operators import components, experiments, scaling
 
-SF = "/root/testdata/sf0.001"
 TIMES = ("training_time", "test_time")
+MEASURES = ("mcc", "ndr", "auc_n", "acc", "tpr_macro", "fpr", "ppv_macro", "f1_macro")
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    names = ("0_normal", "dos", "scan")
+    made = [(i, names[i % 3], [float(i % 3) * 2 + float((i * 7) % 11) / 7, float((i * 5) % 13) / 5, float(i % 4)]) for i in range(120)]
+    return spark.createDataFrame([*made, (200, "0_normal", made[0][2])], "id bigint, label string, vector array<double>").cache()
+
+
+def told(frame):
+    return {(r["mode"], r["kernel"], r["scaler"], r["steps"]): r for r in frame.collect()}
+
+
+def test_points_equal_single_runs(spark, rows):
+    runs = [("supervised", []), ("novelty", ["scan"])]
+    swept = told(experiments.sweep(rows, runs, kernels=["rbf", "sigmoid"], scalers=["minmax"], steps=[2, 6]))
+    assert len(swept) == 2 * 2 * 2
+    for (mode, dropped), kernel, scaler, steps in ((runs[0], "rbf", "minmax", 2), (runs[1], "sigmoid", "minmax", 6)):
+        single = experiments.run(rows, mode, dropped, kernel=kernel, scaler=scaler, steps=steps).first()
+        point = swept[mode, kernel, scaler, steps]
+        assert point["drop_cls"] == single["drop_cls"] and point["clusters"] == single["clusters"]
+        assert [point[m] for m in MEASURES] == pytest.approx([single[m] for m in MEASURES])
+        assert point["threshold"] == pytest.approx(single["threshold"])
 
 
-def test_whole_grid(spark, monkeypatch):
-    prepared, points = [], []
-    monkeypatch.setattr(experiments, "prepare", lambda rows, mode, dropped, *, scaler, **_: prepared.append((mode, scaler)) or (rows, rows, rows))
+def test_scalers_of_all_runs_equal_single_fits(spark, rows):
+    both = rows.withColumn("run", (F.col("id") % 2).cast("int"))
+    found = scaling.fit_scalers(both, scaling.KINDS, "run")
+    assert set(found) == {(run, kind) for run in (0, 1) for kind in scaling.KINDS}
+    for (run, kind), scaler in found.items():
+        single = scaling.fit_scaler(both.where(F.col("run") == run), kind)
+        for name in ("center", "spread"):
+            assert getattr(scaler, name) == pytest.approx(getattr(single, name))
+        assert [x for q in scaler.quantiles for x in q] == pytest.approx([x for q in single.quantiles for x in q])
 
-    def judge(train, test, mode, dropped, *, kernel, scaler, steps, **_):
-        points.append((mode, kernel, scaler, steps))
-        return spark.createDataFrame([(mode,)], "mode string")
 
-    monkeypatch.setattr(experiments, "judge", judge)
-    catalog.queries()["experiment_sweep"](spark, SF)
-    modes, steps = {p[0] for p in points}, {p[3] for p in points}
-    grid = {(m, k, s, n) for m in modes for k in (*kernels.KERNELS, "euclidean") for s in scaling.KINDS for n in steps}
-    assert len(modes) == 3 and len(steps) > 1 and set(points) == grid and len(points) == len(grid)
-    # Each scaler is fitted once per run.
-    assert len(prepared) == len(set(prepared)) == 3 * len(scaling.KINDS)
+@pytest.mark.parametrize("shape", ["chain", "star"])
+def test_edges_shrink_every_round(spark, monkeypatch, shape):
+    n = 100_000 if shape == "chain" else 20_000
+    nodes = spark.range(n + 5)
+    middle = n // 2
+    pairs = spark.range(n - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    if shape == "star":
+        pairs = spark.range(n).where(F.col("id") != middle).select(F.col("id").alias("i"), F.lit(middle).cast("bigint").alias("j"))
+    sizes, keep = [], components.stored
 
+    def counted(df, name="table"):
+        out = keep(df, name)
+        if name == "edges":
+            sizes.append(out.count())
+        return out
 
-def test_stored_tables_give_single_runs(spark):
-    rows = spark.createDataFrame([(i, "normal" if i % 3 else "dos", [float(i % 7), float(i % 5), float(i % 3)]) for i in range(60)], "id bigint, label string, vector array<double>")
-    swept = experiments.sweep(rows, [("supervised", [])], kernels=["rbf"], scalers=["standard"], steps=[3], outliers=False).drop(*TIMES)
-    single = experiments.run(rows, "supervised", [], kernel="rbf", scaler="standard", steps=3, outliers=False).drop(*TIMES)
-    assert swept.collect() == single.collect()
+    monkeypatch.setattr(components, "stored", counted)
+    roots = components.connected_components(nodes, pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))))
+    assert {(r[0], r[1]) for r in roots.groupBy("root").count().collect()} == {(0, n)} | {(n + k, 1) for k in range(5)}
+    assert sizes[-1] == 0 and len(sizes) < 45 and all(b < a for a, b in zip(sizes, sizes[1:]))
