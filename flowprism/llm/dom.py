@@ -7,15 +7,19 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Possessive, so a tag that never ends is scanned once; the second pattern does not look at quotes.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+BLIND_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 # Fixed values of the HTML standard and of common page vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg select option object math canvas".split())
+RAW = frozenset("script style title textarea".split())
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr img input".split()
+    "strong sub sup time tt u var wbr img input object canvas svg g text tspan path audio video picture output meter progress "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle semantics annotation".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -23,6 +27,8 @@ CLOSES_P = frozenset(
 )
 CLOSED_BY = {
     "li": frozenset(["li"]),
+    "option": frozenset(["option"]),
+    "optgroup": frozenset(["option", "optgroup"]),
     "dt": frozenset(["dt", "dd"]),
     "dd": frozenset(["dt", "dd"]),
     "tr": frozenset(["tr", "td", "th"]),
@@ -77,7 +83,11 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """Blocks of a page. Text that stands beside block children becomes a block ``#text`` of its own."""
+    """Blocks of a page. Text that stands beside block children becomes a block ``#text`` of its own.
+
+    Only scripts, styles, titles and text areas are skipped up to their end tag; every other element is a node. A page
+    takes time in proportion to its length, whatever its tags and quotes look like.
+    """
     page = Page()
     stack: list[tuple[str, int]] = [("#page", 0)]  # open tags; inline ones share their block's node
     opened: dict[str, int] = {}
@@ -121,12 +131,30 @@ def parse(source: str) -> Page:
                 return None
         return None
 
-    while (m := TOKEN.search(source, at)) is not None:
-        words(source[at : m.start()])
+    # Scanned forwards only: each step ends at a place that is never looked at again.
+    last, tag = source.rfind(">"), TAG
+    while (begin := source.find("<", at)) >= 0:
+        follow = source[begin + 1 : begin + 2]
+        if follow in ("!", "?"):
+            words(source[at:begin])
+            comment = source.startswith("<!--", begin)
+            end = source.find("-->", begin + 4) if comment else source.find(">", begin)
+            at = len(source) if end < 0 else end + (3 if comment else 1)
+            continue
+        if begin > last:
+            break
+        m = tag.match(source, begin)
+        if m is None and tag is TAG and BLIND_TAG.match(source, begin):
+            # A quote that never ends: from here on quotes mean nothing.
+            tag = BLIND_TAG
+            m = tag.match(source, begin)
+        if m is None:
+            words(source[at : begin + 1])
+            at = begin + 1
+            continue
+        words(source[at:begin])
         at = m.end()
         name = m[2]
-        if name is None:
-            continue
         name = name.lower()
         block = name not in INLINE
         if m[1]:
@@ -138,8 +166,8 @@ def parse(source: str) -> Page:
                 pop(name)
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(source, at)
             if not m[3].endswith("/"):
+                end = RAW_END[name].search(source, at)
                 at = end.end() if end else len(source)
             continue
         if name in VOID or m[3].endswith("/") and name not in ("p", "div"):

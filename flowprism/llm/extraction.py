@@ -12,7 +12,7 @@ adverts), whose labels are known, so that the trees do not rest on one site's ta
 marks its article, the layouts use the sample's longest blocks.
 
 Pages are extracted one by one inside tasks, whole, without a shuffle. Null html gives the empty text;
-broken markup is read as far as it goes; repeated rows give equal rows; a page without main text gives "".
+broken markup is read as far as it goes, very long pages whole and in time that grows with their length; repeated rows give equal rows; a page without main text gives "".
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ PAGES_PER_BATCH = 64
 
 TAGS = ("article", "main", "section", "p", "div", "ul", "ol", "li", "table", "td", "nav", "header", "footer", "aside", "form", "blockquote", "pre", "figure", "#text")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-OUTSIDE_TAGS = frozenset("nav footer aside form dialog button".split())
+OUTSIDE_TAGS = frozenset("nav footer aside form dialog button select datalist option noscript template iframe".split())
 BASE = (
     "depth", "children", "place", "siblings", "chars", "link_density", "words", "word_length", "stops", "commas", "inline", "blocks",
     "chars_per_block", "share", "before", "same_tag", "sibling_chars", "list_share", "heading", "heading_before", "in_article", "in_outside", "sign",
