@@ -19,7 +19,7 @@ the symbol and the name of all the words the region's windows cover.
 A hot passage leaves each task once, so no group grows with its copies. Order is (id, text checksum, place):
 null ids come first, rows with equal id and text count as one document, and rows with equal id and different
 texts go by the checksum. Null texts have no words; texts shorter than a window lose nothing; other columns
-pass through, and ``kept_text``, ``n_words`` and ``n_removed`` are replaced.
+pass through whatever their names, and only ``kept_text``, ``n_words`` and ``n_removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowprism.llm import texts as T
+from flowprism.llm.columns import fresh, schema_of
 from flowprism.session import stored
 
 WINDOW = 20
@@ -242,11 +243,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text``, the words that stay joined by one space."""
     new = ("n_words", "n_removed", "kept_text")
     kept = [c for c in docs.columns if c not in new]
+    own_doc, own_tag, own_text, own_runs = fresh([*docs.columns, *new], "_doc", "_tag", "_text", "_runs")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(SMALLEST)).alias("_doc"), (F.crc32(text) - F.lit(1 << 31)).cast("int").alias("_tag"), *(F.col(f"`{c}`") for c in kept)
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(SMALLEST)).alias(own_doc), (F.crc32(text) - F.lit(1 << 31)).cast("int").alias(own_tag), *(F.col(f"`{c}`") for c in kept)
     )
-    symbols = rows.select("_doc", "_tag", text.alias("_text")).mapInArrow(_region_batches, REGION_SCHEMA)
+    symbols = rows.select(own_doc, own_tag, text.alias(own_text)).mapInArrow(_region_batches, REGION_SCHEMA)
     own = F.struct("doc", "tag", "at")
     by_symbol = Window.partitionBy("symbol")
     several = F.min("region").over(by_symbol) != F.max("region").over(by_symbol)
@@ -255,17 +257,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     settled = grouped.withColumn("repeat", F.col("earliest").isNull() | (F.col("earliest") != own))
     settled = stored(settled.where(F.col("repeat") | F.col("several")).select("doc", "tag", "at", "n", "repeat"), "regions")
 
-    runs = F.collect_list(F.struct("at", "n")).alias("_runs")
-    key = [F.col("doc").alias("_doc"), F.col("tag").alias("_tag")]
+    runs = F.collect_list(F.struct("at", "n")).alias(own_runs)
+    key = [F.col("doc").alias(own_doc), F.col("tag").alias(own_tag)]
     opened = settled.where(~F.col("repeat")).groupBy(*key).agg(runs)
     # The texts are dealt out by document once: both joins read the same columns, so they share the exchange.
-    dealt = rows.repartition("_doc", "_tag")
+    dealt = rows.repartition(own_doc, own_tag)
     columns = [F.col(f"`{c}`") for c in kept]
-    windows = dealt.join(opened, ["_doc", "_tag"]).select("_doc", "_tag", text.alias("_text"), "_runs", *columns)
+    windows = dealt.join(opened, [own_doc, own_tag]).select(own_doc, own_tag, text.alias(own_text), own_runs, *columns)
     windows = windows.mapInArrow(_window_batches, MARK_SCHEMA)
     later = _repeats(windows, "name_a", "name_b").where(F.col("earliest").isNull() | (F.col("earliest") != own))
     marks = settled.where("repeat").select("doc", "tag", "at", "n").unionByName(later.select("doc", "tag", "at", "n"))
-    joined = dealt.join(marks.groupBy(*key).agg(runs), ["_doc", "_tag"], "left").select(*columns, "_runs")
-    types = {c: docs.schema[c].dataType.simpleString() for c in kept}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "n_words bigint, n_removed bigint, kept_text string"])
+    joined = dealt.join(marks.groupBy(*key).agg(runs), [own_doc, own_tag], "left").select(*columns, own_runs)
+    schema = f"{schema_of(docs, kept)}, n_words bigint, n_removed bigint, kept_text string"
     return joined.mapInArrow(_removal_batches(kept, kept.index("text"), len(kept)), schema)
