@@ -7,14 +7,15 @@ packet repeats.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowprism.operators.components import connected_components
 from flowprism.operators.lof import local_density, outlier_factor
-from flowprism.operators.neighbours import DIGITS, k_distance, knn_rank, nearest_one, neighbours, topk_neighbours
+from flowprism.operators.neighbours import DIGITS, Index, build_index, k_distance, knn_rank, nearest_one, neighbours, topk_neighbours
 from flowprism.operators.numbering import number_rows
 from flowprism.session import durable
 
@@ -27,7 +28,8 @@ class Kinn:
     """A fitted model: tables, not objects.
 
     nodes(id, class, vector, copies), members(id, class, node), lists(i, j, d, pos, ...),
-    edges(i, j), clusters(id, cluster), cluster_map(cluster, class, conflicts).
+    edges(i, j), clusters(id, cluster), cluster_map(cluster, class, conflicts). A model that was
+    loaded holds the nodes placed for searches as well.
     """
 
     steps: int
@@ -39,6 +41,7 @@ class Kinn:
     clusters: DataFrame
     cluster_map: DataFrame
     digits: int = DIGITS
+    index: Index | None = None
 
     TABLES = ("nodes", "members", "lists", "edges", "clusters", "cluster_map")
 
@@ -115,6 +118,8 @@ def test_lists(model: Kinn, test: DataFrame, k: int, **options) -> DataFrame:
     options.setdefault("digits", model.digits)
     one = F.lit(0).alias("grp")
     queries, points = test.select(one, "id", "vector"), model.nodes.select(one, "id", "vector")
+    if model.index is not None:
+        options["index"] = model.index
     return neighbours(queries, points, k, kernel=model.kernel, levels=False, same=False, **options)
 
 
@@ -179,19 +184,30 @@ def neighbours_of(model: Kinn, i: int) -> DataFrame:
     return topk_neighbours(mine, model.steps).select("i", "j", "d", "pos")
 
 
+def indexed(model: Kinn, **options) -> Kinn:
+    """The model with its nodes placed for searches, once for all of them."""
+    return replace(model, index=build_index(model.nodes.select(F.lit(0).alias("grp"), "id", "vector"), model.kernel, **options))
+
+
 def save(model: Kinn, path: str) -> None:
+    """Tables, search index and, last of all, the settings: without them there is no model."""
     for name in Kinn.TABLES:
         getattr(model, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = model.nodes.sparkSession
-    spark.createDataFrame(
-        [(model.steps, model.kernel, model.digits)], "steps int, kernel string, digits int"
-    ).write.mode("overwrite").parquet(f"{path}/settings")
+    index = model.index or indexed(model).index
+    index.rows.write.mode("overwrite").parquet(f"{path}/index_rows")
+    index.blocks.write.mode("overwrite").parquet(f"{path}/index_blocks")
+    pivots = None if index.pivots is None else index.pivots.tolist()
+    row = (model.steps, model.kernel, model.digits, index.block_rows, pivots)
+    schema = "steps int, kernel string, digits int, block_rows int, pivots array<array<double>>"
+    model.nodes.sparkSession.createDataFrame([row], schema).write.mode("overwrite").parquet(f"{path}/settings")
 
 
 def load(spark: SparkSession, path: str) -> Kinn:
     settings = spark.read.parquet(f"{path}/settings").first()
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in Kinn.TABLES}
-    return Kinn(settings["steps"], settings["kernel"], digits=settings["digits"], **tables)
+    pivots = None if settings["pivots"] is None else np.array(settings["pivots"], np.float64)
+    index = Index(settings["kernel"], settings["block_rows"], pivots, *(spark.read.parquet(f"{path}/index_{part}") for part in ("rows", "blocks")))
+    return Kinn(settings["steps"], settings["kernel"], digits=settings["digits"], index=index, **tables)
 
 
 __all__ = [

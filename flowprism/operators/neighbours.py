@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -186,6 +187,33 @@ def _compare(queries: DataFrame, points: DataFrame, units: DataFrame, plan: dict
     return left.groupBy("unit").cogroup(right.groupBy("p_unit")).applyInPandas(lists, schema)
 
 
+@dataclass
+class Index:
+    """Points placed in cells and cut into blocks, ready for any number of searches.
+
+    pivots: one vector per cell (None: a single cell), rows(grp, id, vector, weight, cell, reach, sub),
+    blocks(grp, cell, sub, radius, least).
+    """
+
+    kernel: str
+    block_rows: int
+    pivots: np.ndarray | None
+    rows: DataFrame
+    blocks: DataFrame
+
+
+def build_index(points: DataFrame, kernel: str = "linear", *, weight: Column | None = None, block_rows: int = BLOCK_ROWS) -> Index:
+    """Place ``points(grp, id, vector)``; ``weight`` multiplies distances to a point."""
+    points = points.select("grp", "id", "vector", (F.lit(1.0) if weight is None else weight).alias("weight"))
+    pivots = None
+    if kernel in _METRIC:
+        # Cells are for large groups; many small ones are compared as they are.
+        largest = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        pivots = _pivots(points, largest, block_rows)
+    rows, blocks = _blocked(_placed(points, pivots, kernel), block_rows)
+    return Index(kernel, block_rows, pivots, rows, blocks)
+
+
 def neighbours(
     queries: DataFrame,
     points: DataFrame,
@@ -197,6 +225,7 @@ def neighbours(
     weight: Column | None = None,
     digits: int = DIGITS,
     block_rows: int = BLOCK_ROWS,
+    index: Index | None = None,
 ) -> DataFrame:
     """Neighbour lists ``i, j, d, pos`` of ``queries(grp, id, vector)`` among ``points``
     of the same ``grp``.
@@ -205,14 +234,12 @@ def neighbours(
     is_step and step are kept); otherwise they hold the ``steps`` nearest points.
     same: queries and points are the same table (a point is at distance 0 from itself
     with levels, and left out otherwise). weight: multiplies distances to a point.
+    index: the points as ``build_index`` made them; ``points`` and ``weight`` are not looked at then.
     """
     queries = queries.select("grp", "id", "vector", F.lit(1.0).alias("weight"))
-    points = points.select("grp", "id", "vector", (F.lit(1.0) if weight is None else weight).alias("weight"))
-    pruned = kernel in _METRIC
-    # Cells are for large groups; many small ones are compared as they are.
-    largest = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    pivots = _pivots(points, largest, block_rows) if pruned else None
-    p_rows, p_blocks = _blocked(_placed(points, pivots, kernel), block_rows)
+    if index is None:
+        index = build_index(points, kernel, weight=weight, block_rows=block_rows)
+    kernel, block_rows, pivots, p_rows, p_blocks = index.kernel, index.block_rows, index.pivots, index.rows, index.blocks
     if same:
         # One table, placed and cut once; the weight belongs to points only.
         q_rows, q_blocks = p_rows, p_blocks

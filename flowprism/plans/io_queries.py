@@ -11,7 +11,7 @@ from flowprism.functions import wire
 from flowprism.operators import features, kinn, metrics
 from flowprism.operators.flows import FLAG_COUNTERS
 from flowprism.operators.scaling import fit_scaler
-from flowprism.operators.split import fit_labels
+from flowprism.operators.split import encode_labels, fit_labels
 from flowprism.plans.model_queries import SPLIT, _test_sql, fitted, train_test
 from flowprism.plans.packet_queries import (
     EVENTS_SQL,
@@ -34,7 +34,7 @@ from flowprism.plans.packet_queries import (
 )
 from flowprism.plans.registry import query, table
 from flowprism.plans.table_queries import _MACRO, _MCC, _OVR, SCORED, scored
-from flowprism.session import durable, scratch_path
+from flowprism.session import durable, scratch_path, stored
 from flowprism.sources import tables
 from flowprism.sources.packets import packets_from_events
 from flowprism.streaming import pipeline
@@ -294,18 +294,46 @@ def stream_flow_state(spark, sf):
     return tidy(_collected(spark, pipeline.flow_state(stream, "day_id", "30 days")).select("seq", "Rate", *_STATE_OUT), _FLOW_DIGITS)
 
 
-@query("stream_detect", f"{EVENTS_SQL} select seq, event_type, network_zone, confidence from event")
-def stream_detect(spark, sf):
-    """The model here is the label rule, joined back on (batch, frame number)."""
-    out = scratch_path(spark, "detect")
-    labels = detections(spark, sf).select("batch_id", "seq", "label")
+_NESTED = ["flow_byte", "Rate", "syn_flag_number", "Duration", "TCP"]
+# One training row in ten.
+_EVERY = 10
 
-    def predict(inputs: DataFrame) -> DataFrame:
-        return inputs.select("batch_id", "seq").join(labels, ["batch_id", "seq"])
 
+def _detect_sql() -> str:
+    start = KEYED.replace("with packets", "with recursive packets", 1) + _stage_sql("batch_id", True)
+    columns = _feature_columns(True)
+    inputs = ", ".join(f"cast(coalesce({columns[n]}, 0) as double)" for n in features.MODEL_COLUMNS)
+    detected = EVENTS_SQL[EVENTS_SQL.index(", detections as") : EVENTS_SQL.index(", clean as")].replace("detections as", "labelled as", 1)
+    events = EVENTS_SQL[EVENTS_SQL.index(", clean as") :]
+    square = "list_dot_product({0}, {0})"
+    return f"""{start}{detected}, vec as materialized (select seq, [cast(row_number() over (partition by batch_id order by seq) as double), {inputs}] as x,
+      {", ".join(f'{R(f"coalesce({columns[n]}, 0)")} as "{n}"' for n in _NESTED)} from feature),
+    lg as (select seq, unnest(generate_series(1, len(x))) as pos, unnest(x) as value from vec),
+    st as (select pos, avg(value) as a, stddev_pop(value) as s from lg where seq % {_EVERY} = 0 group by pos),
+    sc as materialized (select seq, list((value - a) / case when s = 0 then 1 else s end order by pos) as x from lg join st using (pos) group by seq),
+    tr as materialized (select sc.seq, x, {square.format("x")} as q, l.label from sc join labelled l on l.seq = sc.seq where sc.seq % {_EVERY} = 0),
+    te as materialized (select seq, x, {square.format("x")} as q from sc),
+    predicted as (select te.seq, arg_min(tr.label, {{'d': round(sqrt(greatest(te.q - 2 * list_dot_product(te.x, tr.x) + tr.q, 0)), 6), 'j': tr.seq}}) as label from te, tr group by te.seq),
+    detections as (select f.*, p.label from frames f join predicted p on p.seq = f.seq){events}
+    select e.seq, e.event_type, e.network_zone, e.confidence, {", ".join(f'v."{n}"' for n in _NESTED)} from event e join vec v on v.seq = e.seq"""
+
+
+@query("stream_detect", _detect_sql())
+def stream_detect(spark, sf):
+    """A detector in the stream: fitted on packet vectors, saved, loaded, asked for every streamed packet."""
+    path, out = scratch_path(spark, "detector"), scratch_path(spark, "detect")
+    chosen = features.model_vector(features.select_model_features(realtime(spark, sf), "batch_id"))
+    named = detections(spark, sf).where(F.col("seq") % _EVERY == 0).select("batch_id", "seq", "label")
+    train = stored(chosen.select("batch_id", "seq", "vector").join(named, ["batch_id", "seq"]), "train")
+    encoder = stored(fit_labels(train), "encoder")
+    scaler = fit_scaler(train, "standard")
+    rows = scaler.transform(encode_labels(train, encoder)).select(F.col("seq").alias("id"), F.col("code").alias("class"), "vector")
+    tables.save_model(kinn.fit(rows, 3, kernel="euclidean", digits=6), scaler, encoder, path)
+    predict = pipeline.model_predictor(*tables.load_model(spark, path))
     run = pipeline.start(packet_stream(spark, sf), pipeline.detection_batches(predict, out), scratch_path(spark, "state"))
     pipeline.finish(run)
-    return spark.read.parquet(out).select("seq", "event_type", "network_zone", "confidence")
+    found = spark.read.parquet(out)
+    return tidy(found.select("seq", "event_type", "network_zone", "confidence", *[F.col(f"features.{c}").alias(c) for c in _NESTED]))
 
 
 def event_stream(spark, sf) -> DataFrame:

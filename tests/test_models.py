@@ -256,9 +256,22 @@ def test_model_store_round_trip_and_missing_part(spark, tmp_path):
     tables.save_model(model, fit_scaler(train, "standard"), encoder, path)
     loaded, _, _ = tables.load_model(spark, path)
     assert loaded.clusters.count() == 30 and loaded.steps == 3
+    # A later version is what is loaded; one without its manifest entry is not seen.
+    tables.save_model(kinn.fit(train, 4), fit_scaler(train, "standard"), encoder, path)
+    assert tables.load_model(spark, path)[0].steps == 4
+    kinn.save(kinn.fit(train, 5), f"{path}/half-written/model")
+    later, _, _ = tables.load_model(spark, path)
+    assert later.steps == 4
+    test = table(spark, x + 0.01).select("id", "vector")
+    asked = [kinn.predict_supervised(m, test, compat="nearest").orderBy("id").collect() for m in (kinn.fit(train, 4), later)]
+    assert asked[0] == asked[1]
+    for folder in (tmp_path / "m").iterdir():
+        if (folder / "scaler").exists():
+            (folder / "scaler").rename(tmp_path / f"scaler-of-{folder.name}")
     with pytest.raises(FileNotFoundError, match="scaler"):
-        (tmp_path / "m" / "scaler").rename(tmp_path / "elsewhere")
         tables.load_model(spark, path)
+    with pytest.raises(FileNotFoundError):
+        tables.load_model(spark, str(tmp_path / "nowhere"))
 
 
 def test_small_samples_are_exact(spark):
