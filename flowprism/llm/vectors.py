@@ -62,6 +62,6 @@ def matrices(column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray,
         for w in np.unique(width[own]).tolist():
             mine = width[own] == w
             body = data[offsets[:-1][own[mine]][:, None] + 1 + np.arange(w * n)]
-            x[mine] = np.ascontiguousarray(body).view(f"<i{w}").reshape(-1, n)
+            x[mine] = np.ascontiguousarray(body).view(f"<i{w}").reshape(len(body), n)
         out[n] = rows[own], x
     return out

@@ -148,15 +148,18 @@ def refine(a: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
         values = np.diag(s) / (1 - np.diag(r))
         off = s - np.diag(values)
         bound = 2 * (np.sqrt((off * off).sum()) + norm * np.sqrt((r * r).sum()))
+        # Below this, rounding errors divided by the gap would not be small.
+        bound = max(bound, norm * np.sqrt(np.finfo(high).eps))
         apart = values[None, :] - values[:, None]
         far = np.abs(apart) > bound
         e = np.where(far, (s + values[None, :] * r) / np.where(far, apart, 1), r / 2)
         x = x + x @ e
-        groups = clusters(values, float(bound))
-        for group in groups:
+        for group in clusters(values, float(bound)):
             x[:, group] = _apart(work, x[:, group])
-        if not groups and float(np.abs(e).max(initial=0)) < 4 * np.finfo(np.float64).eps * 2.0**-8:
+        if float(np.abs(e).max(initial=0)) < np.finfo(np.float64).eps / 64:
             break
+    for _ in range(2):
+        x = x + x @ (one - x.T @ x) / 2
     values = np.diag(x.T @ work @ x) / np.diag(x.T @ x)
     x = x / np.sqrt((x * x).sum(axis=0))
     order = np.argsort(-values, kind="stable")
