@@ -1,13 +1,16 @@
 """Removal of passages that occur earlier, found by recompression.
 
-Words are named by hashes, and two rounds name pairs of neighbouring symbols: a symbol's name says whether it
-may be the left or the right half of a pair, so whether two neighbours merge depends on the two alone. Names
-are hashes of what they stand for, so all tasks name alike without exchanging a dictionary; equal neighbours
-never pair, and a run stays a run of equal symbols. Equal substrings therefore get equal symbols inside, and
-level-2 symbols span at most four words. Of the symbol boundaries at least ``CONTEXT`` words inside a window,
-the window takes the one whose high-level symbol (the name of the words around it) is smallest: equal windows
-take equal symbols at equal places. Consecutive windows with the same boundary form a *region*, a row with
-the symbol and the name of all the words the region's windows cover.
+Words are symbols of level 0. A round makes the next level: a run of equal symbols becomes one symbol, then, with
+all symbols parted into left and right ones, a left symbol and the right one after it become one. Names are
+64-bit keyed hashes of what they stand for (symbol and count, or both halves), so all tasks name alike and no
+dictionary travels; the partition is one for the whole corpus: in each round a Spark job counts the pairs that each
+of ``PARTITIONS`` partitions would make in all texts, and the best is taken.
+
+Each symbol knows the words that decide it: its own, and those that rule out a longer run or another pairing. A
+symbol whose deciding words all lie in a window is there in every equal window, at the same place; what touches an
+edge of a document is never sure. A window takes, of the highest level that has a sure symbol in it (words are always
+sure), the symbol of most words, then of the largest name, then the leftmost: equal windows share it. Consecutive
+windows with the same symbol form a *region*, a row with the symbol and the name of all its windows' words.
 
 1. Every task folds equal regions of its texts: all but the first are repeats, whatever the rest of the
    corpus holds. The first ones are shuffled by symbol.
@@ -24,7 +27,8 @@ pass through whatever their names, and only ``kept_text``, ``n_words`` and ``n_r
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,66 +40,156 @@ from flowprism.llm.columns import fresh, schema_of
 from flowprism.session import stored
 
 WINDOW = 20
-CONTEXT = 3
+ROUNDS = 3
+PARTITIONS = 8
 FOLD_ROWS = 1_000_000
 SMALLEST = -(2**63)
-NOWHERE = T.U(2**64 - 1)
+RUN, PAIR = T.U(1 << 32), T.U(2 << 32)
 
 REGION_SCHEMA = "symbol bigint, region bigint, doc bigint, tag int, at int, n int"
 MARK_SCHEMA = "name_a bigint, name_b bigint, doc bigint, tag int, at int, n int"
 
 
-def boundaries(words: T.Words, hashes: np.ndarray) -> np.ndarray:
-    """Whether a level-2 symbol begins at each word."""
-    n = len(words)
-    begin = np.zeros(n, bool)
-    begin[words.first[:-1][words.counts > 0]] = True
-    if n < 2:
-        return begin
-    origin = begin.copy()
-    left = (T.mix(hashes + T.U(1)) & T.U(1)).astype(bool)
-    # Round 1: a left word and the right word after it become one symbol.
-    level = np.ones(n, bool)
-    level[1:] = ~(left[:-1] & ~left[1:]) | origin[1:]
-    starts = np.flatnonzero(level)
-    ends = np.append(starts[1:], n)
-    # Round 2: the same with the names of the symbols, of one or two words each.
-    names = T.Spans(hashes, 2)(starts, ends)
-    left = (T.mix(names + T.U(2)) & T.U(1)).astype(bool)
-    merged = np.zeros(len(starts), bool)
-    merged[1:] = left[:-1] & ~left[1:] & ~origin[starts[1:]]
-    begin[starts[~merged]] = True
-    return begin
-
-
-def regions(words: T.Words, hashes: np.ndarray, window: int = WINDOW) -> dict[str, np.ndarray]:
-    """Runs of windows with the same boundary: first window, number of windows, symbol and region name."""
+@dataclass
+class Symbols:
+    """Symbols of one level in the order of the text: names, words ``[begin, end)``, deciding words ``[low, high)``.
+
+    ``low`` and ``high`` never fall along the text. Beside an edge of a document they reach one word over it.
+    """
+
+    name: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    doc: np.ndarray
+
+    @classmethod
+    def of_words(cls, words: T.Words, hashes: np.ndarray) -> Symbols:
+        at = np.arange(len(words))
+        return cls(hashes, at, at + 1, at, at + 1, words.documents())
+
+    def __len__(self) -> int:
+        return len(self.name)
+
+    def _same_document(self) -> np.ndarray:
+        return self.doc[1:] == self.doc[:-1]
+
+    def _reach(self) -> tuple[np.ndarray, np.ndarray]:
+        """Deciding words of the symbol before and of the symbol after; over the edge where there is none."""
+        same = self._same_document()
+        before, after = self.begin - 1, self.end + 1
+        before[1:][same] = self.low[:-1][same]
+        after[:-1][same] = self.high[1:][same]
+        return before, after
+
+    def runs(self) -> Symbols:
+        """Runs of equal symbols as one symbol; both neighbours decide where a run ends."""
+        joined = (self.name[1:] == self.name[:-1]) & self._same_document()
+        head = np.flatnonzero(np.concatenate([[True], ~joined]))
+        count = np.diff(np.append(head, len(self)))
+        tail = head + count - 1
+        before, after = self._reach()
+        name = self.name[head]
+        many = count > 1
+        name[many] = T.mix(T.mix(name[many] + RUN) + count[many].astype(np.uint64))
+        return Symbols(name, self.begin[head], self.end[tail], before[head], after[tail], self.doc[head])
+
+    def lefts(self, partition: int) -> np.ndarray:
+        return (T.mix(self.name + T.U(partition)) & T.U(1)).astype(bool)
+
+    def pairing(self, left: np.ndarray) -> np.ndarray:
+        """Whether each symbol but the last is the left half of a pair."""
+        return left[:-1] & ~left[1:] & self._same_document()
+
+    def pairs(self, partition: int) -> Symbols:
+        """Left symbols and right ones after them as one symbol; a lone one is decided by the neighbour it lacks."""
+        left = self.lefts(partition)
+        paired = np.append(self.pairing(left), False)
+        head = np.flatnonzero(~np.concatenate([[False], paired[:-1]]))
+        both = paired[head]
+        tail = head + both
+        before, after = self._reach()
+        lone = ~both
+        low = np.where(lone & ~left[head], before[head], self.low[head])
+        high = np.where(lone & left[head], after[tail], self.high[tail])
+        name = self.name[head]
+        name[both] = T.mix(T.mix(name[both] + PAIR) + self.name[tail[both]])
+        return Symbols(name, self.begin[head], self.end[tail], low, high, self.doc[head])
+
+
+def levels(words: T.Words, hashes: np.ndarray, partitions: Sequence[int]) -> list[Symbols]:
+    """Symbols of the words and of each round's level."""
+    found = [Symbols.of_words(words, hashes)]
+    for partition in partitions:
+        found.append(found[-1].runs().pairs(partition))
+    return found
+
+
+def regions(words: T.Words, hashes: np.ndarray, partitions: Sequence[int], window: int = WINDOW) -> dict[str, np.ndarray]:
+    """Runs of windows with the same symbol: first window, number of windows, symbol and region name."""
     starts = T.inside(words, window)
     if not len(starts):
         return {k: np.zeros(0, np.int64) for k in ("first", "n", "symbol", "region")}
-    n = len(words)
-    spans = T.Spans(hashes, 3)
-    key = np.full(n, NOWHERE)
-    inner = np.flatnonzero(boundaries(words, hashes))
-    inner = inner[(inner >= CONTEXT) & (inner + CONTEXT <= n)]
-    key[inner] = spans(inner - CONTEXT, inner + CONTEXT)
-    # Leftmost smallest key among the places CONTEXT..window - CONTEXT of each window, by doubling.
-    width = window - 2 * CONTEXT + 1
-    best, size = np.arange(n), 1
-    while 2 * size <= width:
-        a, b = best[: n - 2 * size + 1], best[size : n - size + 1]
-        best, size = np.where(key[a] <= key[b], a, b), 2 * size
-    low = starts + CONTEXT
-    a, b = best[low], best[low + width - size]
-    anchor = np.where(key[a] <= key[b], a, b)
+    anchor, key = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.uint64)
+    open_ = np.arange(len(starts))
+    found = levels(words, hashes, partitions)
+    for level in range(len(found) - 1, -1, -1):
+        symbols = found[level]
+        # Sure symbols of a window are neighbours: low and high never fall.
+        at = np.searchsorted(symbols.low, starts[open_])
+        stop = np.searchsorted(symbols.high, starts[open_] + window, "right")
+        sure = at < stop
+        mine, at, stop = open_[sure], at[sure], stop[sure]
+        open_ = open_[~sure]
+        length = symbols.end - symbols.begin
+        weight = (length.astype(np.uint64) << T.U(56)) | (symbols.name >> T.U(8))
+        best = at.copy()
+        going = np.arange(len(mine))
+        while len(going):
+            at[going] += 1
+            going = going[at[going] < stop[going]]
+            better = going[weight[at[going]] > weight[best[going]]]
+            best[better] = at[better]
+        anchor[mine] = symbols.begin[best] * len(found) + level
+        key[mine] = T.mix(symbols.name[best] + T.U(level))
+        if not len(open_):
+            break
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(starts)))
-    first = starts[at]
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(starts)))
+    first = starts[head]
     name = T.Spans(hashes, 4)(first, first + count + window - 1)
-    name = T.mix(name + (anchor[at] - first).astype(np.uint64))
-    return {"first": first, "n": count, "symbol": key[anchor[at]], "region": name}
+    name = T.mix(name + (anchor[head] - first * len(found)).astype(np.uint64))
+    return {"first": first, "n": count, "symbol": key[head], "region": name}
+
+
+def _pair_counts(partitions: Sequence[int], candidates: Sequence[int]):
+    """Pairs that each candidate partition would make after the rounds of ``partitions``, a row for each task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(candidates), np.int64)
+        for batch in batches:
+            for chunk in T.chunks(batch.column(0)):
+                words = T.split(chunk)
+                if len(words):
+                    symbols = levels(words, T.word_hashes(chunk, words), partitions)[-1].runs()
+                    total += [np.count_nonzero(symbols.pairing(symbols.lefts(c))) for c in candidates]
+        yield pa.RecordBatch.from_arrays([pa.array(candidates, pa.int32()), pa.array(total)], names=["partition", "pairs"])
+
+    return run
+
+
+def rounds(texts: DataFrame, number: int = ROUNDS) -> list[int]:
+    """The partition of each round, the one that makes most pairs in all of ``texts`` (one text column)."""
+    chosen: list[int] = []
+    for level in range(number):
+        candidates = range(1 + level * PARTITIONS, 1 + (level + 1) * PARTITIONS)
+        counted = texts.mapInArrow(_pair_counts(tuple(chosen), tuple(candidates)), "partition int, pairs bigint")
+        best = counted.groupBy("partition").agg(F.sum("pairs").alias("pairs")).orderBy(F.desc("pairs"), "partition").first()
+        chosen.append(best["partition"] if best else candidates[0])
+    return chosen
 
 
 class Fold:
@@ -149,19 +243,22 @@ def merge_runs(doc, tag, at, n) -> tuple[np.ndarray, ...]:
     return doc[heads], tag[heads], at[heads], np.maximum.reduceat(reach, heads) - at[heads]
 
 
-def _region_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fold, names = Fold(), [c.split()[0] for c in REGION_SCHEMA.split(", ")]
-    for batch in batches:
-        doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for chunk in T.chunks(batch.column(2)):
-            words = T.split(chunk)
-            found = regions(words, T.word_hashes(chunk, words))
-            row = np.searchsorted(words.first, found["first"], "right") - 1
-            at = found["first"] - words.first[row]
-            fold.add(found["symbol"].astype(np.uint64), found["region"].astype(np.uint64), doc[chunk.at + row], tag[chunk.at + row], at, found["n"])
-            if fold.rows >= FOLD_ROWS:
-                yield from fold.batches(names)
-    yield from fold.batches(names)
+def _region_batches(partitions: Sequence[int]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, names = Fold(), [c.split()[0] for c in REGION_SCHEMA.split(", ")]
+        for batch in batches:
+            doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for chunk in T.chunks(batch.column(2)):
+                words = T.split(chunk)
+                found = regions(words, T.word_hashes(chunk, words), partitions)
+                row = np.searchsorted(words.first, found["first"], "right") - 1
+                at = found["first"] - words.first[row]
+                fold.add(found["symbol"].astype(np.uint64), found["region"].astype(np.uint64), doc[chunk.at + row], tag[chunk.at + row], at, found["n"])
+                if fold.rows >= FOLD_ROWS:
+                    yield from fold.batches(names)
+        yield from fold.batches(names)
+
+    return run
 
 
 def _ragged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +345,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(SMALLEST)).alias(own_doc), (F.crc32(text) - F.lit(1 << 31)).cast("int").alias(own_tag), *(F.col(f"`{c}`") for c in kept)
     )
-    symbols = rows.select(own_doc, own_tag, text.alias(own_text)).mapInArrow(_region_batches, REGION_SCHEMA)
+    partitions = rounds(rows.select(text.alias(own_text)))
+    symbols = rows.select(own_doc, own_tag, text.alias(own_text)).mapInArrow(_region_batches(partitions), REGION_SCHEMA)
     own = F.struct("doc", "tag", "at")
     by_symbol = Window.partitionBy("symbol")
     several = F.min("region").over(by_symbol) != F.max("region").over(by_symbol)
