@@ -22,6 +22,11 @@ def touches_mac(mac: Column | str) -> Column:
     return F.coalesce((F.col("src_mac") == mac) | (F.col("dst_mac") == mac), F.lit(False))
 
 
+def touches_any(macs: Column) -> Column:
+    """Whether one end is among the addresses of an array; never so without an array or an address."""
+    return F.coalesce(F.array_contains(macs, F.col("src_mac")), F.lit(False)) | F.coalesce(F.array_contains(macs, F.col("dst_mac")), F.lit(False))
+
+
 def protocol_type() -> Column:
     """Protocol number as the feature table reports it (0 for ARP)."""
     return F.when(is_arp(), F.lit(0)).otherwise(F.col("proto"))
@@ -29,9 +34,14 @@ def protocol_type() -> Column:
 
 def label_mask(mac: Column | str = ATTACKER_INSIDE) -> Column:
     """Attack label of packets to or from the attacker, else benign."""
+    return label_where(touches_mac(mac))
+
+
+def label_where(attack: Column) -> Column:
+    """Label by protocol where ``attack`` holds, else benign."""
     label = F.lit(BENIGN)
     for number, text in PROTOCOL_LABELS.items():
-        label = F.when(touches_mac(mac) & (protocol_type() == number), text).otherwise(label)
+        label = F.when(attack & (protocol_type() == number), text).otherwise(label)
     return label
 
 

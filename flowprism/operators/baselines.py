@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Iterator, Sequence
 
@@ -21,6 +22,7 @@ from flowprism.session import durable
 
 SEED = 42
 CONTAMINATION = 0.1
+PRIME = (1 << 31) - 1
 
 
 def _features(rows: DataFrame, label: str) -> DataFrame:
@@ -104,18 +106,30 @@ def flag(train_scores: DataFrame, test_scores: DataFrame, share: float = CONTAMI
     return test_scores.select("id", (F.col("score") > F.lit(cut)).cast("int").alias("pred"))
 
 
+def draw_lines(samples: int, seed: int = SEED) -> list[tuple[int, int]]:
+    """Factor and shift of each sample's key, both below ``PRIME``, the factor not 0."""
+    digit = lambda kind, i: int(hashlib.md5(f"{seed}:{kind}:{i}".encode()).hexdigest()[:8], 16)
+    return [(1 + digit("factor", i) % (PRIME - 1), digit("shift", i) % PRIME) for i in range(samples)]
+
+
 def small_samples(rows: DataFrame, samples: int, size: int, seed: int = SEED) -> DataFrame:
     """``sample, id, vector``: exactly min(size, rows) rows drawn for each sample.
 
-    A row enters a sample when its hash for that sample is small; the candidates are a
-    small multiple of what is needed, and only they are ranked.
+    A row enters a sample when its key for that sample is small: the md5 of its id, moved by the sample's line
+    modulo a prime, so SQL can repeat the draw. The candidates are a small multiple of what is needed, and only they
+    are ranked.
     """
     total = rows.count()
-    span = 1 << 31
-    limit = span if total <= 4 * size else int(span * (4.0 * size + 64) / total)
-    drawn = F.transform(
-        F.sequence(F.lit(0), F.lit(samples - 1)),
-        lambda s: F.struct(s.alias("sample"), F.pmod(F.xxhash64(F.lit(seed), s, F.col("id")), F.lit(span)).alias("key")),
+    limit = PRIME if total <= 4 * size else int(PRIME * (4.0 * size + 64) / total)
+    place = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("bigint") % F.lit(PRIME)
+    lines = F.lit([f"{a}:{b}" for a, b in draw_lines(samples, seed)])
+    part = lambda line, i: F.element_at(F.split(line, ":"), i).cast("bigint")
+    # A one-element transform names the row's place once for all samples.
+    drawn = F.flatten(
+        F.transform(
+            F.array(place),
+            lambda h: F.transform(lines, lambda line, s: F.struct(s.cast("int").alias("sample"), ((h * part(line, 1) + part(line, 2)) % F.lit(PRIME)).alias("key"))),
+        )
     )
     candidates = rows.select("id", "vector", F.explode(F.filter(drawn, lambda d: d["key"] < limit)).alias("d"))
     order = Window.partitionBy("sample").orderBy("key", "id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowprism.functions.events import EVENT_TEXT, UNKNOWN, UNKNOWN_EVENT
+from flowprism.functions.labels import label_where, touches_any
 from flowprism.session import broadcast_if_small, durable
 
 
@@ -86,6 +87,19 @@ def segment_range_join(packets: DataFrame, segments: DataFrame, bucket_us: int =
     return joined.select("p.*", F.col("s._name").alias("name")).drop("_bucket")
 
 
+def label_by_segment(packets: DataFrame, segments: DataFrame, attackers: DataFrame) -> DataFrame:
+    """``packets`` with ``name`` of their segment and the ``label`` its attackers (``name, mac``) give them.
+
+    Addresses are gathered per segment name before they meet the segments, so a packet is met once however many
+    attackers a segment has. A segment without attackers is benign; a packet in no segment has no label.
+    """
+    macs = attackers.where(F.col("mac").isNotNull()).groupBy(F.col("name").alias("_of")).agg(F.collect_set("mac").alias("_macs"))
+    placed = segment_range_join(packets, segments)
+    met = placed.join(broadcast_if_small(durable(macs)), F.col("name") == F.col("_of"), "left")
+    label = F.when(F.col("name").isNotNull(), label_where(touches_any(F.col("_macs"))))
+    return met.withColumn("label", label).drop("_of", "_macs")
+
+
 def positional_zip(rows: DataFrame, predictions: DataFrame, keys: tuple = ("batch_id", "seq")) -> DataFrame:
     """Predictions back on their packets, by key instead of row position."""
     return rows.join(predictions, list(keys))

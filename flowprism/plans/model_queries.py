@@ -622,7 +622,6 @@ def _oneclass(name: str, model) -> None:
 
 
 _oneclass("oneclass_iforest", baselines.oneclass_iforest)
-_oneclass("oneclass_inne", baselines.oneclass_inne)
 _ANGLES = """(select i as id, coalesce(-var_pop(w), 0) as score from (
    select a.i, list_sum(list_transform(list_zip(a.l, b.l), lambda z: z[1] * z[2])) / (a.s * b.s) as w
    from {0} a join {0} b on a.i = b.i and a.j < b.j) z group by i)"""
@@ -647,6 +646,35 @@ def oneclass_abod(spark, sf):
     return tidy(baselines.oneclass_abod(train.where(F.col("class") == 0), test, digits=DIGITS))
 
 
+_LINES = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(baselines.draw_lines(200)))
+
+
+def _sphere_scores(name: str, rows: str) -> str:
+    """Mean over the samples of the ratio of the smallest sphere that holds a row, 1 outside all."""
+    return f"""{name}_in as (select r.id, c.s, c.ratio, row_number() over (partition by r.id, c.s order by c.radius, c.id) as pos
+      from {rows} r join sphere c on {_SQ.format("r.x", "c.x")} <= c.radius),
+    {name} as (select r.id, (coalesce(sum(i.ratio), 0) + 200 - count(i.s)) / 200 as score
+      from {rows} r left join (select * from {name}_in where pos = 1) i on i.id = r.id group by r.id)"""
+
+
+@query(
+    "oneclass_inne",
+    f"""with {SPLIT}, tr as (select * from train where class = 0), line(s, a, b) as (values {_LINES}),
+    keyed as (select id, x, cast(concat('0x', substring(md5(cast(id as varchar)), 1, 8)) as bigint) % {baselines.PRIME} as h from tr),
+    drawn as (select * from (select s, id, x, row_number() over (partition by s order by (h * a + b) % {baselines.PRIME}, id) as r
+      from keyed join line on true) z where r <= 8),
+    gap as (select a.s, a.id, a.x, b.id as other, {_SQ.format("a.x", "b.x")} as g from drawn a join drawn b on a.s = b.s and a.id <> b.id),
+    near as (select s, id, x, other, g as radius from (select *, row_number() over (partition by s, id order by g, other) as pos from gap) z where pos = 1),
+    sphere as (select n.s, n.id, n.x, n.radius, case when n.radius = 0 then 0 else 1 - o.radius / n.radius end as ratio
+      from near n join near o on o.s = n.s and o.id = n.other),
+    {_sphere_scores("own", "tr")}, {_sphere_scores("far", "test")}
+    select id, cast(round(score, 9) > round((select quantile_cont(score, 0.9) from own), 9) as bigint) as pred from far""",
+)
+def oneclass_inne(spark, sf):
+    train, test = train_test(spark, sf)
+    return tidy(baselines.oneclass_inne(train.where(F.col("class") == 0), test))
+
+
 @query("baseline_compare")
 def baseline_compare(spark, sf):
     train, test = train_test(spark, sf)

@@ -93,6 +93,28 @@ def segment_range_join(spark, sf):
     return out.select("seq", F.coalesce("name", F.lit("none")).alias("name"))
 
 
+# Scans of the inside and of the outside network, each with its own attacker; user 4 plays the outside one.
+_SWAP = "case when {0} = '00:0c:29:00:00:04' then '" + L.ATTACKER_OUTSIDE + "' else {0} end"
+_BY_SEGMENT = "case when name is null then null when {0} and proto = 6 then 'TCP' when {0} and proto = 17 then 'UDP' when {0} and proto = 1 then 'ICMP' when {0} and proto = 0 then 'ARP' else 'benign' end"
+
+
+@query(
+    "label_masks_by_segment",
+    f"""{WITH}, {SEGMENTS.replace("'in-udp'", "'out-tcp'")},
+    attacker(of, mac) as (values ('in-tcp', '{L.ATTACKER_INSIDE}'), ('out-tcp', '{L.ATTACKER_OUTSIDE}')),
+    swapped as (select seq, ts_us, proto, {_SWAP.format("src_mac")} as src, {_SWAP.format("dst_mac")} as dst from frames),
+    placed as (select p.*, s.name, a.mac from swapped p left join segments s on p.ts_us between s.start_us and s.end_us left join attacker a on a.of = s.name)
+    select seq, coalesce(name, 'none') as name, coalesce({_BY_SEGMENT.format("coalesce(mac in (src, dst), false)")}, 'none') as label from placed""",
+)
+def label_masks_by_segment(spark, sf):
+    zone = F.regexp_replace("name", "^in-udp$", "out-tcp")
+    outside = lambda c: F.when(F.col(c) == "00:0c:29:00:00:04", L.ATTACKER_OUTSIDE).otherwise(F.col(c))
+    rows = ip_arp(spark, sf).withColumns({c: outside(c) for c in ("src_mac", "dst_mac")})
+    found = spark.createDataFrame([("in-tcp", L.ATTACKER_INSIDE), ("out-tcp", L.ATTACKER_OUTSIDE)], "name string, mac string")
+    out = joins.label_by_segment(rows, segments(spark, sf).withColumn("name", zone), found)
+    return out.select("seq", F.coalesce("name", F.lit("none")).alias("name"), F.coalesce("label", F.lit("none")).alias("label"))
+
+
 @query(
     "positional_zip",
     f"""{DETECTED} select batch_id, seq, coalesce(src_ip, '0.0.0.0') as src_ip, coalesce(dst_ip, '0.0.0.0') as dst_ip, label

@@ -79,6 +79,18 @@ def test_event_addresses_and_zones(spark):
     assert out == [("192.168.111.4", "WAN"), none, none, none, none, ("192.168.40.9", "DMZ"), ("8.8.8.8", "Unknown")]
 
 
+def test_labels_follow_the_attackers_of_the_segment(spark):
+    columns = "seq bigint, ts_us bigint, eth_type int, proto int, src_mac string, dst_mac string"
+    rows = [(1, 10, 2048, 6, "x", "a"), (2, 10, 2048, 6, "b", "x"), (3, 60, 2048, 17, "b", "x"), (4, 60, 2048, 1, "x", "c"), (5, 60, 2048, 6, "a", None), (6, 120, 2054, 0, "a", "b"), (7, 999, 2048, 6, "a", "b")]
+    segments = spark.createDataFrame([("in", 0, 50), ("out", 51, 100), ("calm", 101, 200)], "name string, start_us bigint, end_us bigint")
+    attackers = spark.createDataFrame([("in", "a"), ("out", "b"), ("out", "c"), ("calm", None)], "name string, mac string")
+    packets = spark.createDataFrame(rows, columns)
+    out = joins.label_by_segment(packets, segments, attackers)
+    assert {r["seq"]: r["label"] for r in out.collect()} == {1: "TCP", 2: "benign", 3: "UDP", 4: "ICMP", 5: "benign", 6: "benign", 7: None}
+    assert out.columns == [*packets.columns, "name", "label"]
+    assert joins.label_by_segment(packets.limit(0), segments, attackers).count() == 0
+
+
 def test_segment_join_keeps_unmatched_packets(spark):
     packets = spark.createDataFrame([(i, i * 1_000_000) for i in range(10)], "seq bigint, ts_us bigint")
     segments = spark.createDataFrame([("a", 1_000_000, 3_000_000), ("b", 5_000_000, 5_500_000)], "name string, start_us bigint, end_us bigint")

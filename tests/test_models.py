@@ -278,6 +278,9 @@ def test_small_samples_are_exact(spark):
     rows = table(spark, np.arange(500)[:, None])
     counts = baselines.small_samples(rows, 20, 16).groupBy("sample").count().collect()
     assert sorted(r["count"] for r in counts) == [16] * 20
+    assert len(set(baselines.draw_lines(200))) == 200
+    drawn = lambda d: {(r["sample"], r["id"]) for r in baselines.small_samples(d, 20, 16).collect()}
+    assert drawn(rows) == drawn(rows.repartition(7))
 
 
 def test_outliers_are_found_by_every_oneclass_model(spark):
