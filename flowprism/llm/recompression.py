@@ -9,8 +9,9 @@ of ``PARTITIONS`` partitions would make in all texts, and the best is taken.
 Each symbol knows the words that decide it: its own, and those that rule out a longer run or another pairing. A
 symbol whose deciding words all lie in a window is there in every equal window, at the same place; what touches an
 edge of a document is never sure. A window takes, of the highest level that has a sure symbol in it (words are always
-sure), the symbol of most words, then of the largest name, then the leftmost: equal windows share it. Consecutive
-windows with the same symbol form a *region*, a row with the symbol and the name of all its windows' words.
+sure), the symbol of most words, then of the largest name, then the leftmost: equal windows share it and
+its deciding words. Consecutive windows with the same symbol form a *region*, a row with the symbol, named with its
+deciding words, and the name of all the region's words.
 
 1. Every task folds equal regions of its texts: all but the first are repeats, whatever the rest of the
    corpus holds. The first ones are shuffled by symbol.
@@ -40,7 +41,7 @@ from flowprism.llm.columns import fresh, schema_of
 from flowprism.session import stored
 
 WINDOW = 20
-ROUNDS = 3
+ROUNDS = 2
 PARTITIONS = 8
 FOLD_ROWS = 1_000_000
 SMALLEST = -(2**63)
@@ -133,6 +134,7 @@ def regions(words: T.Words, hashes: np.ndarray, partitions: Sequence[int], windo
         return {k: np.zeros(0, np.int64) for k in ("first", "n", "symbol", "region")}
     anchor, key = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.uint64)
     open_ = np.arange(len(starts))
+    around = T.Spans(hashes, 3)
     found = levels(words, hashes, partitions)
     for level in range(len(found) - 1, -1, -1):
         symbols = found[level]
@@ -152,7 +154,8 @@ def regions(words: T.Words, hashes: np.ndarray, partitions: Sequence[int], windo
             better = going[weight[at[going]] > weight[best[going]]]
             best[better] = at[better]
         anchor[mine] = symbols.begin[best] * len(found) + level
-        key[mine] = T.mix(symbols.name[best] + T.U(level))
+        # Windows of one symbol hold its deciding words as well: they tell apart what a common short symbol joins.
+        key[mine] = T.mix(T.mix(symbols.name[best] + T.U(level)) + around(symbols.low[best], symbols.high[best]))
         if not len(open_):
             break
     new = np.ones(len(starts), bool)
