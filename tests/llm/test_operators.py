@@ -130,6 +130,17 @@ def test_repeats(spark, docs, empty):
     assert recompression.remove_repeats(empty).count() == 0
 
 
+def test_repeats_in_runs(spark):
+    """Runs longer and shorter than a window, cut by its edges; alternating words."""
+    rng = np.random.default_rng(5)
+    texts = ["a " * 50, "b " + "a " * 19 + "c", "x " + "a " * 19 + "c d", "a b " * 40, "b " + "a b " * 15, "a " * 20]
+    texts += [" ".join(w for _ in range(12) for w in [str(rng.choice(list("abc")))] * int(rng.integers(1, 25))) for _ in range(40)]
+    rows = list(enumerate(texts))
+    want = brute_repeats(rows)
+    for r in recompression.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect():
+        assert (r["n_words"], r["n_removed"], r["kept_text"]) == want[r["doc_id"], r["text"]]
+
+
 def shingles(text, width):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
