@@ -69,6 +69,21 @@ def block_distances(x: np.ndarray, y: np.ndarray, name: str) -> np.ndarray:
     return shape(xx) - 2 * shape(products) + shape(yy)
 
 
+def paired_distances(x: np.ndarray, y: np.ndarray, name: str) -> np.ndarray:
+    """Kernel distances of row after row of two equal blocks, from differences where the kernel allows it."""
+    gamma = 1.0 / x.shape[1]
+    apart = _square(x - y)
+    if name == "linear":
+        return apart
+    if name == "euclidean":
+        return np.sqrt(apart)
+    if name == "rbf":
+        return -2.0 * np.expm1(-gamma * apart)
+    xx, xy, yy = _square(x), np.einsum("ij,ij->i", x, y), _square(y)
+    shape = (lambda p: (gamma * p + COEF0) ** DEGREE) if name == "poly" else (lambda p: np.tanh(gamma * p + COEF0))
+    return shape(xx) - 2 * shape(xy) + shape(yy)
+
+
 def to_metric(distances: np.ndarray, name: str) -> np.ndarray:
     """A true metric that grows with the kernel distance (linear, poly, rbf, euclidean)."""
     if name == "euclidean":

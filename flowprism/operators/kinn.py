@@ -21,6 +21,7 @@ from flowprism.session import durable
 
 TYPES = ("distance", "density")
 COMPAT = ("deployed", "nearest")
+INDEX_PARTS = ("rows", "tiles", "edges")
 
 
 @dataclass
@@ -194,8 +195,8 @@ def save(model: Kinn, path: str) -> None:
     for name in Kinn.TABLES:
         getattr(model, name).write.mode("overwrite").parquet(f"{path}/{name}")
     index = model.index or indexed(model).index
-    index.rows.write.mode("overwrite").parquet(f"{path}/index_rows")
-    index.blocks.write.mode("overwrite").parquet(f"{path}/index_blocks")
+    for part in INDEX_PARTS:
+        getattr(index, part).write.mode("overwrite").parquet(f"{path}/index_{part}")
     pivots = None if index.pivots is None else index.pivots.tolist()
     row = (model.steps, model.kernel, model.digits, index.block_rows, pivots)
     schema = "steps int, kernel string, digits int, block_rows int, pivots array<array<double>>"
@@ -206,7 +207,7 @@ def load(spark: SparkSession, path: str) -> Kinn:
     settings = spark.read.parquet(f"{path}/settings").first()
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in Kinn.TABLES}
     pivots = None if settings["pivots"] is None else np.array(settings["pivots"], np.float64)
-    index = Index(settings["kernel"], settings["block_rows"], pivots, *(spark.read.parquet(f"{path}/index_{part}") for part in ("rows", "blocks")))
+    index = Index(settings["kernel"], settings["block_rows"], pivots, *(spark.read.parquet(f"{path}/index_{part}") for part in INDEX_PARTS))
     return Kinn(settings["steps"], settings["kernel"], digits=settings["digits"], index=index, **tables)
 
 

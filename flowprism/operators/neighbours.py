@@ -1,13 +1,14 @@
 """Exact nearest neighbours by blocks.
 
-Vectors are hashed into blocks of bounded size inside cells around a bounded set of
-pivots. A task compares one query block with one point block as a matrix product and
-emits only each query's own short list, so pairs are never rows. First every query
-meets its home cell, which bounds how far its list can reach; then only the cells that
-the triangle inequality cannot exclude are visited: cells are paired and pruned first,
-and only pairs that stay are expanded to blocks and pruned again. Blocks are joined on
-their cells, never on the group alone. A kernel without a metric has one cell and visits
-every block.
+Vectors lie in cells around a bounded set of pivots. A cell of more than one block is cut
+into tiles by two distances, to its own pivot and to a pivot far away, and a tile is hashed
+into blocks of bounded size. A task compares one query block with one point block as a
+matrix product and emits only each query's own short list, so pairs are never rows. First
+every query meets its own tile (its ring or cell where the tile is too small), which bounds
+how far its list can reach; then only what the triangle inequality cannot exclude is
+visited, in its own cell too: cells are paired and pruned, pairs that stay are expanded to
+tiles, then to blocks, and pruned again each time. Blocks are joined on their cells, never
+on the group alone. A kernel without a metric has one cell and visits every block.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowprism.functions.kernels import block_distances, to_metric
+from flowprism.functions.kernels import block_distances, paired_distances, to_metric
 from flowprism.session import broadcast_if_small, durable
 
 BLOCK_ROWS = 2048
 # Pivots grow with the square root of the points between these two.
 LEAST_PIVOTS = 256
 MAX_PIVOTS = 4096
+# A cell is cut into at most BINS x BINS tiles; the far pivot is one of the first REFERENCES.
+BINS = 16
+REFERENCES = 16
 # Distances equal after rounding count as one step.
 DIGITS = 9
 _METRIC = ("linear", "poly", "rbf", "euclidean")
@@ -79,22 +83,28 @@ def _pivots(points: DataFrame, rows: int, block_rows: int) -> np.ndarray | None:
 
 
 def _assign(rows: DataFrame, pivots: np.ndarray | None, kernel: str) -> DataFrame:
-    """Add ``cell`` (closest pivot) and ``reach`` (metric distance to it)."""
+    """Add ``cell`` (closest pivot), ``reach`` (metric distance to it) and ``slant`` (to the cell's far pivot)."""
     if pivots is None:
-        return rows.withColumns({"cell": F.lit(0), "reach": F.lit(0.0)})
+        return rows.withColumns({"cell": F.lit(0), "reach": F.lit(0.0), "slant": F.lit(0.0)})
+    opposite = block_distances(pivots, pivots[:REFERENCES], kernel).argmax(axis=1)
+
+    def exact(vectors: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return to_metric(paired_distances(vectors, others, kernel), kernel)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                far = to_metric(block_distances(np.vstack(batch["vector"].to_numpy()), pivots, kernel), kernel)
-                cell = far.argmin(axis=1)
-                batch = batch.assign(cell=cell.astype("int32"), reach=far[np.arange(len(cell)), cell])
+                vectors = np.vstack(batch["vector"].to_numpy())
+                cell = block_distances(vectors, pivots, kernel).argmin(axis=1)
+                reach, slant = exact(vectors, pivots[cell]), exact(vectors, pivots[opposite[cell]])
+                batch = batch.assign(cell=cell.astype("int32"), reach=reach, slant=slant)
             else:
-                batch = batch.assign(cell=pd.Series(dtype="int32"), reach=pd.Series(dtype="float64"))
+                none = pd.Series(dtype="float64")
+                batch = batch.assign(cell=pd.Series(dtype="int32"), reach=none, slant=none)
             yield batch
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(place, f"{schema}, cell int, reach double")
+    return rows.mapInPandas(place, f"{schema}, cell int, reach double, slant double")
 
 
 def _placed(rows: DataFrame, pivots: np.ndarray | None, kernel: str) -> DataFrame:
@@ -103,20 +113,43 @@ def _placed(rows: DataFrame, pivots: np.ndarray | None, kernel: str) -> DataFram
     return placed if pivots is None else durable(placed)
 
 
-def _blocked(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Split every (grp, cell) into hashed blocks of about ``block_rows`` rows."""
-    sizes = rows.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("grp", "cell", F.ceil(F.col("n") / block_rows).cast("int").alias("parts"))
+def _edges(rows: DataFrame, block_rows: int) -> DataFrame:
+    """``grp, cell, by_reach, by_slant``: where a cell is cut, quantiles of its two distances; none in a cell of one block."""
+    cuts = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    found = rows.groupBy("grp", "cell").agg(
+        F.count(F.lit(1)).alias("n"), *(F.percentile_approx(c, cuts, F.lit(1000)).alias(f"by_{c}") for c in ("reach", "slant"))
+    )
+    # Tiles a side: a power of two, so that each takes every such step of the sixteen quantiles.
+    side = F.least(F.lit(float(BINS)), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / block_rows, F.lit(1.0))) / 2)))
+    step = (F.lit(BINS) / side).cast("int")
+    chosen = [F.filter(f"by_{c}", lambda _, at: (at + 1) % step == 0).alias(f"by_{c}") for c in ("reach", "slant")]
+    return found.select("grp", "cell", *chosen)
+
+
+def _blocked(rows: DataFrame, block_rows: int, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their tile and block (``tile``, ``sub``), and the tiles with the ranges of both distances."""
     # At most MAX_PIVOTS cells per group: rows of a hot cell stay where they are.
-    sizes = broadcast_if_small(durable(sizes))
-    blocked = rows.join(sizes, ["grp", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    blocked = blocked.drop("parts")
-    blocks = blocked.groupBy("grp", "cell", "sub").agg(F.max("reach").alias("radius"), F.min("weight").alias("least"))
-    return blocked, durable(blocks)
+    cut = rows.join(broadcast_if_small(edges), ["grp", "cell"], "left")
+    ring = F.size(F.filter("by_reach", lambda edge: edge < F.col("reach")))
+    slice_ = F.size(F.filter("by_slant", lambda edge: edge < F.col("slant")))
+    cut = cut.withColumn("tile", F.coalesce(ring * BINS + slice_, F.lit(0))).drop("by_reach", "by_slant")
+    tiles = cut.groupBy("grp", "cell", "tile").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"),
+        F.min("reach").alias("inner"),
+        F.max("reach").alias("radius"),
+        F.min("slant").alias("low"),
+        F.max("slant").alias("high"),
+        F.min("weight").alias("least"),
+    )
+    tiles = durable(tiles)
+    parts = broadcast_if_small(tiles.select("grp", "cell", "tile", "parts"))
+    blocked = cut.join(parts, ["grp", "cell", "tile"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return blocked.drop("parts"), tiles
 
 
 def _side(blocks: DataFrame, side: str) -> DataFrame:
-    """Block or cell columns with the prefix of their side of a comparison."""
+    """Tile or cell columns with the prefix of their side of a comparison."""
     return blocks.select("grp", *(F.col(c).alias(f"{side}_{c}") for c in blocks.columns if c != "grp"))
 
 
@@ -139,20 +172,19 @@ def _apart(cells: DataFrame, pivots: np.ndarray, kernel: str) -> DataFrame:
 
 def _compare(queries: DataFrame, points: DataFrame, units: DataFrame, plan: dict) -> DataFrame:
     """Run the block comparisons listed in ``units`` and return the per-query short lists."""
-    left = queries.join(
-        units.select("grp", F.col("q_cell").alias("cell"), F.col("q_sub").alias("sub"), "unit"), ["grp", "cell", "sub"]
-    )
-    right = points.join(
-        units.select("grp", F.col("p_cell").alias("cell"), F.col("p_sub").alias("sub"), "unit"), ["grp", "cell", "sub"]
-    )
+    def side(rows: DataFrame, prefix: str) -> DataFrame:
+        listed = units.select("grp", *(F.col(f"{prefix}_{c}").alias(c) for c in ("cell", "tile", "sub")), "unit")
+        return rows.join(listed, ["grp", "cell", "tile", "sub"])
+
+    left, right = side(queries, "q"), side(points, "p")
     # The two sides may come from one table: fresh column names keep them apart.
-    left = left.select("unit", "grp", "cell", "sub", "id", "vector")
+    left = left.select("unit", "id", "vector")
     right = right.select(*[F.col(c).alias(f"p_{c}") for c in ("unit", "id", "vector", "weight")])
     kernel, steps, levels, same, digits = (plan[k] for k in ("kernel", "steps", "levels", "same", "digits"))
 
     def lists(_, query: pd.DataFrame, point: pd.DataFrame) -> pd.DataFrame:
         if not len(query) or not len(point):
-            return pd.DataFrame({"i": [], "j": [], "d": [], "grp": [], "cell": [], "sub": []})
+            return pd.DataFrame({"i": [], "j": [], "d": []})
         point = point.sort_values("p_id")
         ids, own = point["p_id"].to_numpy(), query["id"].to_numpy()
         far = block_distances(np.vstack(query["vector"].to_numpy()), np.vstack(point["p_vector"].to_numpy()), kernel)
@@ -171,35 +203,25 @@ def _compare(queries: DataFrame, points: DataFrame, units: DataFrame, plan: dict
         else:
             keep = (np.arange(near.shape[1])[None, :] < steps) & np.isfinite(near)
         row, at = keep.nonzero()
-        return pd.DataFrame(
-            {
-                "i": own[row],
-                "j": ids[order[row, at]],
-                "d": near[row, at],
-                "grp": query["grp"].to_numpy()[row],
-                "cell": query["cell"].to_numpy()[row],
-                "sub": query["sub"].to_numpy()[row],
-            }
-        )
-
-    grp = queries.schema["grp"].dataType.simpleString()
-    schema = f"i bigint, j bigint, d double, grp {grp}, cell int, sub int"
-    return left.groupBy("unit").cogroup(right.groupBy("p_unit")).applyInPandas(lists, schema)
+        return pd.DataFrame({"i": own[row], "j": ids[order[row, at]], "d": near[row, at]})
+
+    return left.groupBy("unit").cogroup(right.groupBy("p_unit")).applyInPandas(lists, "i bigint, j bigint, d double")
 
 
 @dataclass
 class Index:
-    """Points placed in cells and cut into blocks, ready for any number of searches.
+    """Points placed in cells and cut into tiles and blocks, ready for any number of searches.
 
-    pivots: one vector per cell (None: a single cell), rows(grp, id, vector, weight, cell, reach, sub),
-    blocks(grp, cell, sub, radius, least).
+    pivots: one vector per cell (None: a single cell), rows(grp, id, vector, weight, cell, reach, slant, tile, sub),
+    tiles(grp, cell, tile, n, parts, inner, radius, low, high, least), edges(grp, cell, by_reach, by_slant).
     """
 
     kernel: str
     block_rows: int
     pivots: np.ndarray | None
     rows: DataFrame
-    blocks: DataFrame
+    tiles: DataFrame
+    edges: DataFrame
 
 
 def build_index(points: DataFrame, kernel: str = "linear", *, weight: Column | None = None, block_rows: int = BLOCK_ROWS) -> Index:
@@ -210,8 +232,9 @@ def build_index(points: DataFrame, kernel: str = "linear", *, weight: Column | N
         # Cells are for large groups; many small ones are compared as they are.
         largest = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         pivots = _pivots(points, largest, block_rows)
-    rows, blocks = _blocked(_placed(points, pivots, kernel), block_rows)
-    return Index(kernel, block_rows, pivots, rows, blocks)
+    placed = _placed(points, pivots, kernel)
+    edges = durable(_edges(placed, block_rows))
+    return Index(kernel, block_rows, pivots, *_blocked(placed, block_rows, edges), edges)
 
 
 def neighbours(
@@ -239,19 +262,31 @@ def neighbours(
     queries = queries.select("grp", "id", "vector", F.lit(1.0).alias("weight"))
     if index is None:
         index = build_index(points, kernel, weight=weight, block_rows=block_rows)
-    kernel, block_rows, pivots, p_rows, p_blocks = index.kernel, index.block_rows, index.pivots, index.rows, index.blocks
+    kernel, block_rows, pivots, p_rows, p_tiles = index.kernel, index.block_rows, index.pivots, index.rows, index.tiles
     if same:
         # One table, placed and cut once; the weight belongs to points only.
-        q_rows, q_blocks = p_rows, p_blocks
+        q_rows, q_tiles = p_rows, p_tiles
     else:
-        q_rows, q_blocks = _blocked(_placed(queries, pivots, kernel), block_rows)
+        q_rows, q_tiles = _blocked(_placed(queries, pivots, kernel), block_rows, index.edges)
     plan = {"kernel": kernel, "steps": steps, "levels": levels, "same": same, "digits": digits}
 
-    q_side, p_side = _side(q_blocks.drop("least"), "q"), _side(p_blocks, "p")
-    unit = F.concat_ws("/", "q_cell", "q_sub", "p_cell", "p_sub", "grp").alias("unit")
-    at = ["grp", "q_cell", "q_sub", "p_cell", "p_sub", unit]
-    home_units = q_side.join(p_side.withColumn("q_cell", F.col("p_cell")), ["grp", "q_cell"]).select(*at)
-    home = _compare(q_rows, p_rows, home_units, plan)
+    q_side, p_side = _side(q_tiles.drop("least", "n"), "q"), _side(p_tiles, "p")
+    # A tile that holds enough points bounds the lists of its queries, else the ring of its tiles, else the whole cell.
+    for width, name in ((BINS, "ring"), (1, "tile")):
+        span = F.floor(F.col("tile") / width)
+        enough = p_tiles.groupBy("grp", F.col("cell").alias("q_cell"), span.alias("_span")).agg((F.sum("n") >= 2 * steps).alias(f"q_by_{name}"))
+        q_side = q_side.withColumn("_span", F.floor(F.col("q_tile") / width)).join(enough, ["grp", "q_cell", "_span"], "left").drop("_span")
+    q_side = durable(q_side.na.fill(False, ["q_by_ring", "q_by_tile"]))
+    unit = F.concat_ws("/", "q_cell", "q_tile", "q_sub", "p_cell", "p_tile", "p_sub", "grp").alias("unit")
+    at = ["grp", "q_cell", "q_tile", "q_sub", "p_cell", "p_tile", "p_sub", unit]
+
+    def blocks(tiles: DataFrame, side: str) -> DataFrame:
+        return tiles.withColumn(f"{side}_sub", F.explode(F.sequence(F.lit(0), F.col(f"{side}_parts") - 1)))
+
+    here = q_side.join(p_side.withColumn("q_cell", F.col("p_cell")), ["grp", "q_cell"])
+    one_ring = F.floor(F.col("q_tile") / BINS) == F.floor(F.col("p_tile") / BINS)
+    met = F.when(F.col("q_by_tile"), F.col("q_tile") == F.col("p_tile")).otherwise(~F.col("q_by_ring") | one_ring)
+    home = _compare(q_rows, p_rows, blocks(blocks(here.where(met), "q"), "p").select(*at), plan)
 
     def finish(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select("i", "j", "d")
@@ -265,26 +300,41 @@ def neighbours(
     spans = finish(home.select("i", "j", "d")).groupBy("i").agg(
         F.max("d").alias("cut"), (F.max("step") if levels else F.max("pos")).alias("have")
     )
-    reach = (
-        q_rows.select("grp", F.col("id").alias("i"), F.col("cell").alias("q_cell"), F.col("sub").alias("q_sub"))
+    block = ["grp", "q_cell", "q_tile", "q_sub"]
+    cuts = (
+        q_rows.select("grp", F.col("id").alias("i"), *(F.col(c).alias(f"q_{c}") for c in ("cell", "tile", "sub")))
         .join(spans, "i", "left")
         .withColumn("cut", F.when(F.col("have") >= steps, F.col("cut")).otherwise(F.lit(float("inf"))))
-        .groupBy("grp", "q_cell", "q_sub")
-        .agg(F.max(F.coalesce("cut", F.lit(float("inf")))).alias("cut"))
+        .groupBy(*block)
+        .agg(F.max(F.coalesce("cut", F.lit(float("inf")))).alias("block_cut"))
     )
-    q_side = durable(q_side.join(reach, ["grp", "q_cell", "q_sub"]))
-    # No point of the far side can be closer than this (slack covers rounding).
-    closest = F.greatest(F.col("apart") - F.col("q_radius") - F.col("p_radius"), F.lit(0.0))
-    bound = (closest if kernel == "euclidean" else closest * closest) * F.col("p_least") * (1 - 1e-9) - 10.0**-digits
+    cuts = durable(cuts)
+    q_side = q_side.join(cuts.groupBy("grp", "q_cell", "q_tile").agg(F.max("block_cut").alias("cut")), ["grp", "q_cell", "q_tile"])
+
+    def bound(*gaps: Column) -> Column:
+        """No point of the far side can be closer than this (slack covers rounding)."""
+        closest = F.greatest(F.lit(0.0), *gaps)
+        return (closest if kernel == "euclidean" else closest * closest) * F.col("p_least") * (1 - 1e-9) - 10.0**-digits
+
     q_cells = q_side.groupBy("grp", "q_cell").agg(F.max("q_radius").alias("q_radius"), F.max("cut").alias("cut"))
     p_cells = p_side.groupBy("grp", "p_cell").agg(F.max("p_radius").alias("p_radius"), F.min("p_least").alias("p_least"))
+    beyond = F.col("apart") - F.col("q_radius") - F.col("p_radius")
     near = (
         _apart(q_cells, pivots, kernel)
         .join(q_cells, ["grp", "q_cell"])
         .join(p_cells, ["grp", "p_cell"])
-        .where(bound <= F.col("cut"))
+        .where(bound(beyond) <= F.col("cut"))
         .select("grp", "q_cell", "p_cell", "apart")
     )
-    far_units = near.join(q_side, ["grp", "q_cell"]).join(p_side, ["grp", "p_cell"]).where(bound <= F.col("cut")).select(*at)
-    far = _compare(q_rows, p_rows, durable(far_units), plan)
+    # One side's ring may also lie outside all that the other side can reach around the first pivot.
+    outside = [F.col(f"{a}_inner") - F.col("apart") - F.col(f"{b}_radius") for a, b in ("qp", "pq")]
+    other_cells = bound(beyond, *outside)
+    # In one cell both distances are to the same two pivots.
+    rings = [F.col(f"{a}_{low}") - F.col(f"{b}_{high}") for a, b in ("qp", "pq") for low, high in (("inner", "radius"), ("low", "high"))]
+    pairs = ["grp", "q_cell", "q_tile", "p_cell", "p_tile", "p_parts", "bound"]
+    elsewhere = near.join(q_side, ["grp", "q_cell"]).join(p_side, ["grp", "p_cell"]).withColumn("bound", other_cells)
+    here = q_side.join(p_side.withColumn("q_cell", F.col("p_cell")), ["grp", "q_cell"]).where(~met).withColumn("bound", bound(*rings))
+    left = elsewhere.where(F.col("bound") <= F.col("cut")).select(*pairs).unionByName(here.where(F.col("bound") <= F.col("cut")).select(*pairs))
+    far_units = left.join(cuts, ["grp", "q_cell", "q_tile"]).where(F.col("bound") <= F.col("block_cut"))
+    far = _compare(q_rows, p_rows, durable(blocks(far_units, "p").select(*at)), plan)
     return finish(home.unionByName(far))

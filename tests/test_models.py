@@ -53,6 +53,49 @@ def test_pruned_blocks_equal_brute_force(spark, kernel):
         assert lists == {i: walk(d[i], i, 4) for i in range(len(x))}
 
 
+@pytest.mark.parametrize(("kernel", "same"), [("linear", True), ("euclidean", False), ("rbf", True), ("poly", False)])
+def test_blocks_of_one_cell_are_pruned(spark, monkeypatch, kernel, same):
+    """With few pivots a cell holds many blocks: equal lists to brute force, from a fifth of its block pairs at most."""
+    from flowprism.operators import neighbours as search
+
+    monkeypatch.setattr(search, "LEAST_PIVOTS", 4)
+    monkeypatch.setattr(search, "MAX_PIVOTS", 4)
+    rng = np.random.default_rng(11)
+    flat = rng.uniform(0, 10, (60, 2))
+    x = np.repeat(flat, 50, axis=0) + rng.normal(0, 0.05, (3000, 2))
+    x = (np.hstack([x, x @ np.array([[0.5], [0.2]])]) / 4).round(5)
+    x = np.unique(x, axis=0)
+    rows = table(spark, x).withColumnRenamed("class", "grp")
+    asked = x if same else (x[::7] + 0.001).round(5)
+    queries = rows if same else table(spark, asked).withColumnRenamed("class", "grp")
+    planned = []
+    compare = search._compare
+
+    def counted(q, p, units, plan):
+        inside = units.where(F.col("q_cell") == F.col("p_cell"))
+        planned.append((inside.count(), units.count()))
+        return compare(q, p, units, plan)
+
+    monkeypatch.setattr(search, "_compare", counted)
+    index = search.build_index(rows, kernel, block_rows=16)
+    cells = index.tiles.groupBy("grp", "cell").agg(F.sum("parts").alias("n"))
+    if not same:
+        tiles = search._blocked(search._placed(queries.withColumn("weight", F.lit(1.0)), index.pivots, kernel), 16, index.edges)[1]
+        other = tiles.groupBy("grp", "cell").agg(F.sum("parts").alias("m"))
+        cells = cells.join(other, ["grp", "cell"])
+    every = cells.agg(F.sum(F.col("n") * F.col("n" if same else "m"))).first()[0]
+    got = neighbours(queries, rows, 3, kernel=kernel, levels=False, same=same, digits=6, block_rows=16, index=index).collect()
+    d = np.round(block_distances(asked, x, kernel), 6) + 0.0
+    if same:
+        np.fill_diagonal(d, np.inf)
+    lists = {}
+    for r in sorted(got, key=lambda r: (r["i"], r["pos"])):
+        lists.setdefault(r["i"], []).append(r["j"])
+    wanted = {i: [int(j) for j in np.lexsort((np.arange(len(x)), d[i]))[:3]] for i in range(len(asked))}
+    assert lists == wanted
+    assert sum(n for n, _ in planned) <= 0.2 * every, (planned, every)
+
+
 def test_weighted_lists_with_pruning(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(c, 0.5, (50, 2)) for c in (0, 6)])
