@@ -81,24 +81,41 @@ def drop_malformed(spark, sf):
     return wire.drop_malformed(raw_frames(spark, sf).withColumn("frame", cut)).select("seq")
 
 
-@query("src_captures", f"{WITH} select day_id, count(*) as frames, cast(sum(frame_len) as bigint) as bytes from frames group by day_id")
-def src_captures(spark, sf):
-    """Frames are written as rotated capture files of each day, then read back."""
+_CAPTURED = f"{WITH} select day_id, count(*) as frames, cast(sum(frame_len) as bigint) as bytes from frames group by day_id"
+
+
+def _captured(spark, sf, **options) -> DataFrame:
     from flowprism.sources.captures import read_packets
 
     path = scratch_path(spark, "captures")
     write_captures(wire.encode_frames(ip_arp(spark, sf)), path)
     name = F.regexp_extract("capture_id", "day-([0-9]+)", 1).cast("bigint")
     return (
-        read_packets(spark, path, "*.pcap")
+        read_packets(spark, path, "*.pcap", **options)
         .groupBy(name.alias("day_id"))
         .agg(F.count(F.lit(1)).alias("frames"), F.sum("frame_len").alias("bytes"))
     )
 
 
+@query("src_captures", _CAPTURED)
+def src_captures(spark, sf):
+    """Frames are written as rotated capture files of each day, then read back."""
+    return _captured(spark, sf)
+
+
+@query("src_captures_pieces", _CAPTURED)
+def src_captures_pieces(spark, sf):
+    """The same files, each read by a task for every 16 KB."""
+    return _captured(spark, sf, piece_bytes=16 << 10)
+
+
 def write_captures(frames: DataFrame, path: str) -> None:
-    """Rotated files (day, 65,536 frame numbers each), written by the tasks in frame order."""
+    """Rotated files (day, 65,536 frame numbers each), written by the tasks in frame order.
+
+    A file gets its name once it is whole, so a task that runs twice leaves one file.
+    """
     import struct
+    import uuid
 
     def save(batches):
         import pandas as pd
@@ -107,18 +124,23 @@ def write_captures(frames: DataFrame, path: str) -> None:
         system, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
         system.create_dir(root)
         out, current, total = None, None, 0
+        unfinished = f"{root}/{uuid.uuid4().hex}.part"
+
+        def finish():
+            if out is not None:
+                out.close()
+                system.move(unfinished, f"{root}/{current}.pcap")
+
         for batch in batches:
             names = "day-" + batch["day_id"].astype(str) + "-part-" + batch["part"].astype(str)
             for name, ts_us, frame in zip(names, batch["ts_us"], batch["frame"], strict=True):
                 if name != current:
-                    if out is not None:
-                        out.close()
-                    out, current = system.open_output_stream(f"{root}/{name}.pcap"), name
+                    finish()
+                    out, current = system.open_output_stream(unfinished), name
                     out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
                 out.write(struct.pack("<IIII", ts_us // 1_000_000, ts_us % 1_000_000, len(frame), len(frame)) + bytes(frame))
                 total += 1
-        if out is not None:
-            out.close()
+        finish()
         yield pd.DataFrame({"n": [total]})
 
     parts = frames.select("day_id", F.shiftright("seq", 16).alias("part"), "seq", "ts_us", "frame")

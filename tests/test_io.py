@@ -2,6 +2,7 @@
 
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,60 @@ def test_bad_captures(spark, tmp_path):
     assert read_frames(spark, str(tmp_path), on_bad="report").count() == 14
     found = {r["path"].rsplit("/", 1)[-1]: (r["problem"], r["frames"]) for r in capture_problems(spark, str(tmp_path)).collect()}
     assert found == {"cut.pcap": ("ends inside a record", 4), "new.pcap": ("not a classic capture file", 0)}
+
+
+def test_one_capture_is_read_in_pieces(spark, tmp_path):
+    """Pieces give the rows of one task; payloads that look like records do not mislead, and long frames span pieces."""
+    from flowprism.sources.captures import read_frames
+
+    rng = np.random.default_rng(1)
+    inner = b"".join(struct.pack("<IIII", 1_700_000_000, 5, 40, 40) + b"x" * 40 for _ in range(120))
+    frames = []
+    for i in range(900):
+        size = int(rng.integers(60, 1500))
+        data = inner if i % 40 == 7 else b"\x01" * 50_000 if i == 400 else rng.integers(0, 256, size, dtype=np.uint8).tobytes()
+        frames.append((1_700_000_000_000_000 + 1000 * i, data))
+    write_capture(frames, str(tmp_path / "long.pcap"))
+    write_capture(frames[:3], str(tmp_path / "short.pcap"))
+    write_capture([], str(tmp_path / "empty.pcap"))
+    (tmp_path / "cut.pcap").write_bytes((tmp_path / "long.pcap").read_bytes()[:-7])
+    pieces = read_frames(spark, str(tmp_path), piece_bytes=9_000)
+    assert pieces.rdd.getNumPartitions() > 50
+    got = {}
+    for r in pieces.orderBy("capture_id", "seq").collect():
+        got.setdefault(r["capture_id"].rsplit("/", 1)[-1], []).append((r["seq"], r["ts_us"], bytes(r["frame"])))
+    want = [(i, *f) for i, f in enumerate(frames)]
+    assert got == {"long.pcap": want, "short.pcap": want[:3], "cut.pcap": want[:-1]}
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_captures_in_block_form(spark, tmp_path, order):
+    from flowprism.sources.captures import capture_problems, read_frames
+
+    def block(kind, body):
+        body += b"\x00" * (-len(body) % 4)
+        size = struct.pack(order + "I", len(body) + 12)
+        return struct.pack(order + "I", kind) + size + body + size
+
+    def interface(option=b""):
+        return block(1, struct.pack(order + "HHI", 1, 0, 100) + option)
+
+    section = block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+    nanos = struct.pack(order + "HHB3x", 9, 1, 9) + struct.pack(order + "HHq", 14, 8, 100) + struct.pack(order + "HH", 0, 0)
+
+    def packet(number, ticks, data):
+        return block(6, struct.pack(order + "IIIII", number, ticks >> 32, ticks & 0xFFFFFFFF, len(data), len(data)) + data)
+
+    whole = section + interface() + interface(nanos) + packet(0, 1_700_000_000_000_007, b"a" * 61) + block(5, b"statistics!!")
+    whole += packet(1, 1_700_000_000_000_009_000, b"b" * 64) + block(3, struct.pack(order + "I", 200) + b"c" * 100)
+    (tmp_path / "x.pcap").write_bytes(whole)
+    (tmp_path / "cut.pcap").write_bytes(whole[:-5])
+    want = [(0, 1_700_000_000_000_007, b"a" * 61), (1, 1_700_000_100_000_009, b"b" * 64), (2, None, b"c" * 100)]
+    for piece_bytes in (100, 1 << 20):
+        rows = read_frames(spark, str(tmp_path), piece_bytes=piece_bytes).orderBy("capture_id", "seq").collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r["capture_id"].rsplit("/", 1)[-1], []).append((r["seq"], r["ts_us"], bytes(r["frame"])))
+        assert got == {"x.pcap": want, "cut.pcap": want[:2]}
+    found = {r["path"].rsplit("/", 1)[-1]: (r["problem"], r["frames"]) for r in capture_problems(spark, str(tmp_path)).collect()}
+    assert found == {"cut.pcap": ("ends inside a record", 2)}
