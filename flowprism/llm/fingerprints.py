@@ -81,12 +81,14 @@ def merge_parts(parts: DataFrame, key: str, sketch_column: str = "sketch", k: in
     return ranked.groupBy(key).agg(bottom(F.collect_list("h"), k).alias(sketch_column))
 
 
-def neighbours(docs: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
+def neighbours(docs: DataFrame, id_column: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """``docs`` with the struct ``following``: ``columns`` of the next row by id, after the last the first.
 
     Rows are dealt into blocks of ids; the first row of each block is copied to the end of the block before,
-    so one shuffle serves all rows and no window exceeds a block.
+    so one shuffle serves all rows and no window exceeds a block. ``derived`` columns are made of a row's own
+    columns and belong to ``following`` too; the search for the first row does not compute them.
     """
+    derived = derived or {}
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(columns[0])).alias("b")).first()
     blocks = int(min(MOST_BLOCKS, max(8, (total["b"] or 0) // BLOCK_BYTES)))
     cuts = [i / blocks for i in range(1, blocks)]
@@ -94,8 +96,9 @@ def neighbours(docs: DataFrame, id_column: str, columns: list[str]) -> DataFrame
     edges = sorted(set(found["cuts"] or []) - {found["low"]})
     points = F.array(*map(F.lit, edges)).cast("array<bigint>")
     own = F.when(F.col(id_column).isNull(), F.lit(0)).otherwise(F.size(F.filter(points, lambda e: e <= F.col(id_column))))
-    first = docs.select(id_column, *columns).orderBy(F.col(id_column).asc_nulls_first(), columns[0]).limit(1)
-    dealt = docs.withColumn("_block", own)
+    first = docs.select(id_column, *columns).orderBy(F.col(id_column).asc_nulls_first(), columns[0]).limit(1).withColumns(derived)
+    columns = [*columns, *derived]
+    dealt = docs.withColumns(derived).withColumn("_block", own)
     # Copies: the first row of block b closes block b - 1; the first row of all closes the last block.
     heads = dealt.where(F.col(id_column).isin(edges)) if edges else dealt.limit(0)
     heads = heads.groupBy("_block").agg(F.min(F.struct(columns[0], *columns[1:])).alias("_head"))
@@ -115,8 +118,8 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
     rest. Texts and sketches travel in one shuffle.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("sketch", sketch(F.col("text"), k))
-    rows = neighbours(rows, "doc_id", ["text", "sketch"])
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    rows = neighbours(rows, "doc_id", ["text"], {"sketch": sketch(F.col("text"), k)})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("following.text"), F.lit(1), half))
