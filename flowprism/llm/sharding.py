@@ -5,6 +5,9 @@ its share of the cube and no more; rows are ordered by their index on the Hilber
 and the order is cut into runs of equal row counts. Neighbours on the curve are close in every dimension, so
 the runs have narrow minima and maxima in all of them and files can be skipped by any.
 
+Strings are ordered whole: their distinct values are ranked, and the rank is what is quantised, so values with
+a common start stay apart. ``write_shards`` writes each run of the curve as a file of its own.
+
 Ranks come from a range partitioning with counted partitions: no window over all rows, no text in a shuffle.
 Ties on the curve go by text checksum, then id: equal texts lie side by side, and a hot cell is split.
 Null texts count as empty; null ids and null dimensions sort first; repeated rows take separate slots; an
@@ -20,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowprism.llm.columns import fresh
 from flowprism.operators.numbering import rank_rows
-from flowprism.session import stored
+from flowprism.session import broadcast_if_small, stored
 
 BITS = 6
 
@@ -52,17 +56,23 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def as_number(column: Column, kind: str) -> Column:
-    """An order-keeping number: strings by their first seven bytes, others by value."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
-    return column.cast("double")
+def ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the place of a string among the distinct values in the order of their bytes, null for null."""
+    (value,) = fresh([*rows.columns, name], "_value")
+    values = rows.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").alias(value)).distinct()
+    places, _ = rank_rows(values, [value], name)
+    return rows.join(broadcast_if_small(places), F.col(f"`{column}`") == F.col(value), "left").drop(value)
 
 
 def quantise(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
     """``rows`` with an array ``cell``: for each dimension, how many quantiles of the data lie below."""
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in dimensions}
-    numbers = [as_number(F.col(f"`{c}`"), kinds[c]) for c in dimensions]
+    places = fresh(rows.columns, *(f"_place{i}" for i in range(len(dimensions))))
+    for column, place in zip(dimensions, places, strict=True):
+        if rows.schema[column].dataType.simpleString() == "string":
+            rows = ranked(rows, column, place)
+        else:
+            rows = rows.withColumn(place, F.col(f"`{column}`"))
+    numbers = [F.col(place).cast("double") for place in places]
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
     found = rows.agg(*(F.percentile_approx(n, cuts, 10_000).alias(f"d{i}") for i, n in enumerate(numbers))).first()
     edges = [F.array(*(F.lit(float(e)) for e in (found[i] or [0.0]))) for i in range(len(dimensions))]
@@ -72,7 +82,7 @@ def quantise(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFr
         return F.when(number.isNull(), 0).otherwise(found).cast("int")
 
     cell = [below(n, e) for n, e in zip(numbers, edges, strict=True)]
-    return rows.withColumn("cell", F.array(*cell))
+    return rows.withColumn("cell", F.array(*cell)).drop(*places)
 
 
 def _index_batches(dims: int, bits: int):
@@ -92,12 +102,22 @@ def shard(rows: DataFrame, dimensions: list[str], ties: list[str], shards: int,
     celled = quantise(rows, dimensions, bits)
     kept = [f for f in celled.schema.fields if f.name != "cell"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "hilbert bigint"])
-    indexed = celled.mapInArrow(_index_batches(len(dimensions), bits), schema)
-    ranked, total = rank_rows(indexed, ["hilbert", *ties], "rank")
+    # Stored, as a range partitioning reads its input twice.
+    indexed = stored(celled.mapInArrow(_index_batches(len(dimensions), bits), schema), "indexed")
+    placed, total = rank_rows(indexed, ["hilbert", *ties], "rank")
     at = F.expr(f"cast(rank * {shards} div {max(total, 1)} as int)")
     # Shard s begins at the first rank r with r * shards >= s * total.
     begin = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", at).withColumn("slot", F.col("rank") - begin)
+    return placed.withColumn("shard", at).withColumn("slot", F.col("rank") - begin)
+
+
+def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Files of ``rows_per_file`` rows or fewer, in folders ``shard=.../run=...``: a file is one run of the curve.
+
+    The least and largest values that a file's footer holds are those of a run, so readers skip files by any dimension.
+    """
+    runs = sharded.withColumn("run", F.expr(f"cast(slot div {rows_per_file} as int)"))
+    runs.repartition("shard", "run").sortWithinPartitions("shard", "run", "slot").write.partitionBy("shard", "run").parquet(path)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:

@@ -221,6 +221,26 @@ def test_mixing(spark, docs, empty):
         assert all(abs(shares[k] - v) < 1e-4 for k, v in goal.items())
 
 
+def test_shards_part_strings_with_a_common_start(spark, tmp_path):
+    """Whole strings are ordered; the written files can be skipped by any dimension."""
+    import pyarrow.parquet as pq
+
+    names = [f"https://host/{c}{d}" for c in "abcdefgh" for d in range(10)]
+    rows = [(i, names[i * 7 % 80] if i % 50 else None, float(i * 37 % 1000), f"kept{i}", i) for i in range(4000)]
+    table = spark.createDataFrame(rows, "id long, site string, size double, _value string, _place0 long")
+    out = sharding.shard(table, ["site", "size"], ["id"], 8)
+    found = out.collect()
+    assert {(r["id"], r["site"], r["size"], r["_value"], r["_place0"]) for r in found} == set(rows)
+    assert sorted(Counter(r["shard"] for r in found).values()) == [500] * 8
+    sharding.write_shards(out, str(tmp_path / "shards"), rows_per_file=100)
+    files = [pq.read_table(f, partitioning=None).to_pandas() for f in (tmp_path / "shards").rglob("*.parquet")]
+    assert len(files) == 40 and sum(map(len, files)) == 4000 and all(len(f) == 100 for f in files)
+    for column, wanted in (("site", names[41]), ("size", 412.0)):
+        read = [f for f in files if f[column].dropna().min() <= wanted <= f[column].dropna().max()]
+        assert sum((f[column] == wanted).sum() for f in read) == sum(r[1 if column == "site" else 2] == wanted for r in rows)
+        assert len(read) <= 16
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, shards=5).collect()
     sizes = Counter(r["shard"] for r in rows)
