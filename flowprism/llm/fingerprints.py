@@ -96,7 +96,8 @@ def neighbours(docs: DataFrame, id_column: str, columns: list[str], derived: dic
     edges = sorted(set(found["cuts"] or []) - {found["low"]})
     points = F.array(*map(F.lit, edges)).cast("array<bigint>")
     own = F.when(F.col(id_column).isNull(), F.lit(0)).otherwise(F.size(F.filter(points, lambda e: e <= F.col(id_column))))
-    first = docs.select(id_column, *columns).orderBy(F.col(id_column).asc_nulls_first(), columns[0]).limit(1).withColumns(derived)
+    # Null ids come first in the order of structs, too.
+    first = docs.agg(F.min(F.struct(id_column, *columns)).alias("_first")).where(F.col("_first").isNotNull()).select("_first.*").withColumns(derived)
     columns = [*columns, *derived]
     dealt = docs.withColumns(derived).withColumn("_block", own)
     # Copies: the first row of block b closes block b - 1; the first row of all closes the last block.
@@ -107,8 +108,10 @@ def neighbours(docs: DataFrame, id_column: str, columns: list[str], derived: dic
     ghosts = heads.unionByName(last).withColumns({"_ghost": F.lit(True), id_column: F.lit(None).cast("bigint")})
     rows = dealt.withColumn("_ghost", F.lit(False)).unionByName(ghosts, allowMissingColumns=True)
     order = Window.partitionBy("_block").orderBy("_ghost", F.col(id_column).asc_nulls_first(), columns[0])
-    led = rows.withColumn("following", F.lead(F.struct(*columns)).over(order))
-    return led.where(~F.col("_ghost")).drop("_block", "_ghost")
+    # Each column on its own: a struct would travel beside the columns it is made of.
+    led = rows.select("*", *(F.lead(c).over(order).alias(f"_next{i}") for i, c in enumerate(columns))).where(~F.col("_ghost"))
+    following = F.struct(*(F.col(f"_next{i}").alias(c) for i, c in enumerate(columns)))
+    return led.select(*docs.columns, *derived, following.alias("following"))
 
 
 def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
