@@ -341,3 +341,53 @@ def test_metrics_zero_division(spark):
     assert metrics.mcc(df).first()["mcc"] == 0.0
     assert metrics.macro_prf(df).first()["ppv_macro"] == pytest.approx(25.0)
     assert metrics.label_accuracy(df, 9).first()["accuracy"] is None
+
+
+def test_lots_visit_few_blocks_and_move_rows_a_bounded_number_of_times(spark, monkeypatch):
+    """Lists from lots equal brute force; inside a cell a task compares a fifth of the pairs at most, and a side has some LOTS lots, however many blocks."""
+    from flowprism.operators import neighbours as search
+
+    for name, value in (("LEAST_PIVOTS", 4), ("MAX_PIVOTS", 4), ("BLOCK_ROWS", 16), ("LOTS", 3)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(13)
+    x = np.unique((np.repeat(rng.uniform(0, 10, (40, 2)), 50, axis=0) + rng.normal(0, 0.05, (2000, 2))).round(5), axis=0)
+    rows = table(spark, x).withColumnRenamed("class", "grp")
+    index = search.build_index(rows, "euclidean", block_rows=16)
+    assert index.tiles.agg(F.sum("parts")).first()[0] > 100
+    lots = search._lots(index.rows, index.tiles, 16).select("lot", "piece").distinct().count()
+    assert 3 <= lots <= 10, lots
+    d = np.round(block_distances(x, x, "euclidean"), 6) + 0.0
+    np.fill_diagonal(d, np.inf)
+    compared = []
+    distances = search.block_distances
+    monkeypatch.setattr(search, "block_distances", lambda a, b, kernel: compared.append(len(a) * len(b)) or distances(a, b, kernel))
+    points = index.rows.toPandas()
+    plan = {"kernel": "euclidean", "steps": 3, "levels": False, "same": True, "digits": 6}
+    points["cut"] = np.sort(d, axis=1)[points["id"].to_numpy(), 2]
+    found = search._lists(points, points, plan, index.pivots)
+    lists = {i: rows.sort_values(["d", "j"])["j"].tolist()[:3] for i, rows in found.groupby("i")}
+    assert lists == {i: [int(j) for j in np.lexsort((np.arange(len(x)), d[i]))[:3]] for i in range(len(x))}
+    compared.clear()
+    cells = [rows for _, rows in points.groupby("cell")]
+    for rows in cells:
+        search._lists(rows, rows, plan, index.pivots)
+    assert sum(compared) <= 0.2 * sum(len(rows) ** 2 for rows in cells), (sum(compared), [len(rows) for rows in cells])
+
+
+def test_short_lists_with_ties_and_undefined_distances():
+    """Ties at the last step, many equal distances and NaN: as a full sort gives."""
+    from flowprism.operators import neighbours as search
+
+    rng = np.random.default_rng(17)
+    far = rng.integers(0, 9, (30, 200)) / 4.0
+    far[3, :50] = np.nan
+    ids = rng.permutation(200)
+    for levels in (True, False):
+        row, j, d = search._short_lists(far.copy(), ids, np.full(30, np.inf), {"steps": 4, "levels": levels, "digits": 6})
+        for r in range(30):
+            order = np.lexsort((ids, far[r]))
+            near = far[r][order]
+            step = np.cumsum(near != np.concatenate([[0.0], near[:-1]]))
+            first = (step < 4) | ((step == 4) & (near != np.concatenate([[0.0], near[:-1]])))
+            keep = first if levels else np.arange(200) < 4
+            assert j[row == r].tolist() == ids[order][keep].tolist()
