@@ -8,7 +8,7 @@ last return the columns of documents:
 3. ``substring_dedup``: passages of 20 words and more that occur earlier go; a document that loses nothing
    keeps its text as it is, another keeps the other words joined by one space; a document that loses all its
    words goes;
-4. ``mixing``: documents are drawn by the raked weights of their source and language (and topic, where there is one);
+4. ``mixing``: documents are drawn by the raked weights of their source, language and topic (the form, where there is none);
 5. ``bpe``: what is left is encoded and decoded.
 
 An empty table, null texts and null ids go through as each operator states. Columns besides those of documents travel
@@ -80,7 +80,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @carried
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.draw(docs)
+    return mixing.draw(docs, {"topic": None})
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,7 +187,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: str
     """Every document with its tokens, source, language and topic, ``probability`` and ``sampled``; targets default to tempered shares.
 
     ``budget`` is the expected number of tokens drawn. The form in ``_topic`` is raked only where a ``topic``
-    column or a target for it is given.
+    column or a target for it is given; a target that is None stands for the tempered shares.
     """
     out, held = _drawn(docs, targets, seed, budget, strict)
     added = [F.nullif(F.col(held[c]), F.lit(NULL)) if c in ("_source", "_lang", "_topic") else F.col(held[c]) for c in ADDED]

@@ -42,3 +42,22 @@ def test_budget_and_targets(spark):
     assert abs(kept["source"]["a"] / kept["source"]["b"] - 0.5 / 0.45) < 1e-4
     assert abs(kept["lang"]["fr"] - 0.4) < 1e-5
     assert expected(mixing.mix(docs, targets, budget=10 * total)) == 1.0
+
+
+def test_query_rakes_three_marginals(spark):
+    """The registered query draws source, language and topic towards their targets, not the first two alone."""
+    from flowprism.llm import queries
+
+    out = queries.queries()["op7_mixing"](spark, "/root/testdata/sf0.001").toPandas()
+    assert abs((out["n_tokens"] * out["probability"]).sum() / out["n_tokens"].sum() - mixing.BUDGET) < 1e-6
+    # Rates differ by topic inside a cell of source and language, so the topic is a dimension of the raking.
+    some = out[out["n_tokens"] > 0].groupby(["source", "lang", "topic"], dropna=False)["probability"].nunique()
+    assert (some == 1).all()
+    assert out[out["n_tokens"] > 0].groupby(["source", "lang"], dropna=False)["probability"].nunique().max() > 1
+    share = {t: rows["n_tokens"].sum() for t, rows in out.groupby("topic")}
+    target = {t: n**mixing.TEMPER for t, n in share.items()}
+    drawn = {t: (rows["n_tokens"] * rows["probability"]).sum() for t, rows in out.groupby("topic")}
+    whole = sum(drawn.values())
+    wrong = {t: abs(drawn[t] / whole - target[t] / sum(target.values())) for t in drawn}
+    flat = {t: abs(share[t] / sum(share.values()) - target[t] / sum(target.values())) for t in drawn}
+    assert sum(wrong.values()) < 0.5 * sum(flat.values()), (drawn, share, target)
