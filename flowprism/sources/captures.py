@@ -14,7 +14,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowprism.functions.wire import decode_frames
@@ -37,6 +37,7 @@ FILE_HEADER = 24
 RECORD_HEADER = 16
 ROWS_PER_BATCH = 10_000
 READ_BUFFER = 4 << 20
+LEAST_BUFFER = 8 << 10
 PIECE_BYTES = 64 << 20
 # A border is believed, until it is checked, after this many plausible headers in a row.
 CHAIN = 5
@@ -123,11 +124,12 @@ def _blocks(stream) -> Iterator[tuple[int | None, bytes] | None]:
             yield None, body[4 : 4 + min(sent, longest, len(body) - 4)]
 
 
-def _open(uri: str):
+def _open(uri: str, most: int = READ_BUFFER):
+    """The file, read ahead by no more than a reader of ``most`` bytes has use for."""
     from pyarrow import fs
 
     system, name = fs.FileSystem.from_uri(uri)
-    return io.BufferedReader(system.open_input_file(name), READ_BUFFER)
+    return io.BufferedReader(system.open_input_file(name), max(LEAST_BUFFER, min(most, READ_BUFFER)))
 
 
 def _form(stream) -> tuple[str, int] | str | None:
@@ -157,15 +159,26 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return files.select("path").repartition(max(1, min(files.count(), 10_000)))
 
 
+def _tasks(rows: DataFrame, size: Column) -> int:
+    """Tasks for rows that stand for ``size`` bytes each: short ones share a task, all cores have some."""
+    count, total = rows.agg(F.count(F.lit(1)), F.sum(size)).first()
+    least = 8 * rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(count, 10_000, max(least, -(-(total or 0) // PIECE_BYTES))))
+
+
 def _border(stream, begin: int, length: int, order: str, ticks: int) -> int | None:
     """The first place from ``begin`` where a chain of plausible record headers starts."""
     stream.seek(begin)
-    data = stream.read((CHAIN + 1) * (LONGEST_FRAME + RECORD_HEADER))
-    for first in range(min(len(data), LONGEST_FRAME + RECORD_HEADER)):
+    whole = min(length - begin, (CHAIN + 1) * (LONGEST_FRAME + RECORD_HEADER))
+    data = b""
+    for first in range(min(whole, LONGEST_FRAME + RECORD_HEADER)):
         at, last = first, None
         for _ in range(CHAIN):
             if begin + at == length and last is not None:
                 break
+            # Most chains are short: no more is read than they need.
+            if at + RECORD_HEADER > len(data) and len(data) < whole:
+                data += stream.read(min(max(at + RECORD_HEADER - len(data), len(data), LEAST_BUFFER), whole - len(data)))
             if at + RECORD_HEADER > len(data):
                 at = None
                 break
@@ -205,7 +218,7 @@ def _pieces(files: DataFrame, piece_bytes: int, strict: bool) -> DataFrame:
             found = []
             for uri, length, piece, due in zip(batch["path"], batch["length"], batch["piece"], batch["due"], strict=True):
                 low, limit = piece * piece_bytes, min(length, (piece + 1) * piece_bytes)
-                with _open(uri) as stream:
+                with _open(uri, piece_bytes) as stream:
                     form = _checked_form(uri, stream, strict)
                     if form is None or form == "blocks":
                         found.append((uri, length, piece, length if piece else 0, length, 0))
@@ -224,19 +237,18 @@ def _pieces(files: DataFrame, piece_bytes: int, strict: bool) -> DataFrame:
     long = files.where(F.col("length") > piece_bytes)
     number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(length - 1) div {piece_bytes}")))
     long = stored(long.select("path", "length", number.alias("piece")).withColumn("due", F.lit(-1).cast("bigint")), "pieces")
-    count = long.count()
-    if not count:
+    if not long.limit(1).count():
         return short
-    known = stored(long.repartition(min(count, 10_000), "path", "piece").mapInPandas(survey, schema), "survey")
+    size = F.lit(piece_bytes)
+    known = stored(long.repartition(_tasks(long, size), "path", "piece").mapInPandas(survey, schema), "survey")
     along = Window.partitionBy("path").orderBy("piece")
     while True:
         due = known.withColumn("due", F.lag("stop").over(along))
         wrong = stored(due.where((F.col("piece") > 0) & (F.col("begin") != F.col("due"))).select("path", "length", "piece", "due"), "wrong")
-        again = wrong.count()
-        if not again:
+        if not wrong.limit(1).count():
             break
         # The first wrong piece of a file gets its true border: its predecessors are right, so each round ends nearer.
-        mended = wrong.repartition(min(again, 10_000), "path", "piece").mapInPandas(survey, schema)
+        mended = wrong.repartition(_tasks(wrong, size), "path", "piece").mapInPandas(survey, schema)
         known = stored(known.join(wrong, ["path", "piece"], "left_anti").select(*known.columns).unionByName(mended), "survey")
     before = F.coalesce(F.sum("records").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = known.withColumn("first", before).where(F.col("stop") > F.col("begin"))
@@ -261,15 +273,17 @@ def read_frames(
         def table(rows: list) -> pd.DataFrame:
             return pd.DataFrame(rows, columns=["capture_id", "seq", "ts_us", "frame"]).astype({"ts_us": "Int64"})
 
+        # Rows of short pieces share a table.
+        rows = []
         for batch in batches:
             for uri, begin, stop, seq in zip(batch["path"], batch["begin"], batch["stop"], batch["first"], strict=True):
-                with _open(uri) as stream:
+                with _open(uri, piece_bytes) as stream:
                     form = _checked_form(uri, stream, strict)
                     if form is None:
                         continue
                     if begin:
                         stream.seek(begin)
-                    rows, at = [], max(begin, FILE_HEADER)
+                    at = max(begin, FILE_HEADER)
                     for record in _frames(stream, form):
                         if record is None:
                             break
@@ -280,11 +294,11 @@ def read_frames(
                             rows = []
                         if form != "blocks" and at >= stop:
                             break
-                    if rows:
-                        yield table(rows)
+        if rows:
+            yield table(rows)
 
     pieces = _pieces(list_captures(spark, path, pattern), piece_bytes, strict)
-    return pieces.repartition(max(1, min(pieces.count(), 10_000))).mapInPandas(read, FRAME_SCHEMA)
+    return pieces.repartition(_tasks(pieces, F.col("stop") - F.col("begin"))).mapInPandas(read, FRAME_SCHEMA)
 
 
 def capture_problems(spark: SparkSession, path: str, pattern: str = "*.pcap") -> DataFrame:

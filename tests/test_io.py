@@ -267,3 +267,16 @@ def test_captures_in_block_form(spark, tmp_path, order):
         assert got == {"x.pcap": want, "cut.pcap": want[:2]}
     found = {r["path"].rsplit("/", 1)[-1]: (r["problem"], r["frames"]) for r in capture_problems(spark, str(tmp_path)).collect()}
     assert found == {"cut.pcap": ("ends inside a record", 2)}
+
+
+def test_short_pieces_share_tasks(spark, tmp_path):
+    """Hundreds of short pieces are read by a bounded number of tasks, with the same frames and numbers."""
+    from flowprism.sources.captures import read_frames, write_capture
+
+    frames = [(1_700_000_000_000_000 + i, bytes([i % 251]) * (60 + i % 200)) for i in range(3000)]
+    write_capture(frames, str(tmp_path / "one.pcap"))
+    out = read_frames(spark, str(tmp_path), piece_bytes=1024)
+    assert out.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    got = out.orderBy("seq").collect()
+    assert [(r["ts_us"], bytes(r["frame"])) for r in got] == frames
+    assert len({r["seq"] for r in got}) == len(frames)
