@@ -391,3 +391,46 @@ def test_short_lists_with_ties_and_undefined_distances():
             first = (step < 4) | ((step == 4) & (near != np.concatenate([[0.0], near[:-1]])))
             keep = first if levels else np.arange(200) < 4
             assert j[row == r].tolist() == ids[order][keep].tolist()
+
+
+@pytest.mark.parametrize("kernel", ["euclidean", "linear", "rbf"])
+@pytest.mark.parametrize("levels", [True, False])
+def test_queries_meet_the_blocks_they_can_reach(spark, monkeypatch, kernel, levels):
+    """Lists equal brute force for each kernel, with weights and copies; a query is compared with few of the points its block meets."""
+    from flowprism.operators import neighbours as search
+
+    for name, value in (("LEAST_PIVOTS", 32), ("MAX_PIVOTS", 32)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(29)
+    x = (np.repeat(rng.uniform(0, 4, (30, 3)), 40, axis=0) + rng.normal(0, 0.05, (1200, 3))).round(5)
+    x[7], x[900] = x[6], x[6]
+    weight = 1 + (np.arange(len(x)) % 5) / 10.0
+    rows = table(spark, x).withColumnRenamed("class", "grp")
+    index = search.build_index(rows, kernel, weight=F.lit(1) + (F.col("id") % 5) / 10.0, block_rows=32)
+    points = index.rows.toPandas().sort_values("id", ignore_index=True)
+    d = np.round(block_distances(x, x, kernel) * weight[None, :], 6) + 0.0
+    np.fill_diagonal(d, 0.0 if levels else np.inf)
+    plan = {"kernel": kernel, "steps": 3, "levels": levels, "same": True, "digits": 6}
+    row, j, far = search._short_lists(d, np.arange(len(x)), np.full(len(x), np.inf), plan)
+    points["cut"] = [2 * far[row == i].max() for i in range(len(x))]
+    compared, products = [], search._products
+    monkeypatch.setattr(search, "_products", lambda a, b: compared.append(len(a) * len(b)) or products(a, b))
+    found = search._lists(points, points, plan, index.pivots)
+    for i, mine in found.groupby("i"):
+        at = row == i
+        assert mine.sort_values(["d", "j"])["j"].tolist() == j[at].tolist()
+        assert mine["d"].sort_values().tolist() == pytest.approx(far[at].tolist(), abs=2e-6)
+    assert found["i"].nunique() == len(x)
+    assert 0 < sum(compared) <= 0.1 * len(x) ** 2, sum(compared)
+
+
+def test_lots_of_a_small_side_are_as_many_as_of_a_large_one(spark):
+    """What a search shuffles is rows times lots, so the number of lots does not grow with the rows."""
+    from flowprism.operators import neighbours as search
+
+    def lots(n: int) -> int:
+        rows = spark.range(n).select(F.lit(0).alias("grp"), "id", (F.col("id") % 64).cast("int").alias("cell"))
+        tiles = rows.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"))
+        return search._lots(rows, tiles, search.BLOCK_ROWS).select("lot", "piece").distinct().count()
+
+    assert search.LOTS <= lots(7_680) <= lots(76_800) <= search.LOTS + 1
