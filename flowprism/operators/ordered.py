@@ -21,6 +21,8 @@ from flowprism.functions.packet import FLOW_KEY, TCP_FLAG_MASKS, tcp_flag_bits,
 from flowprism.session import stored
 
 BLOCK_BITS = 18
+# Frames that a task windows where the number of frames is known; a task holds them once for each order.
+TASK_FRAMES = 1 << 16
 # Epoch microseconds are split in two parts whose sums stay exact in 64 bits.
 _SPLIT = 1 << 20
 
@@ -219,8 +221,7 @@ def running(
         frames = frames.withColumn("_blk", block_of("seq", block_bits))
         carries = []
         if "flow" in kinds and summary is None:
-            summary = block_summary(packets, scope, block_bits)
-            summary = stored(summary, "blocks") if "scope" in kinds else summary
+            summary = stored(block_summary(packets, scope, block_bits), "blocks")
         if "scope" in kinds:
             carries.append(_scope_carry(_one_row_each(frames, scope) if summary is None else summary, scope))
         if "src" in kinds:
@@ -233,7 +234,8 @@ def running(
             lambda left, right: left.unionByName(right, allowMissingColumns=True),
             carries,
             frames.withColumn(_FRAME, F.lit(1)),
-        ).repartition(scope, "_blk")
+        )
+        rows = rows.repartition(scope, "_blk") if summary is None else rows.repartition(_tasks(summary), scope, "_blk")
         part = [scope, "_blk"]
 
     def carried(name: str, own: Column) -> Column:
@@ -282,6 +284,12 @@ def running(
     return out.where(F.col(_FRAME) == 1).drop(*internal)
 
 
+def _tasks(summary: DataFrame) -> int:
+    """Tasks that a stored ``block_summary``'s frames are dealt to: as many more as there are more frames, so none grows with them."""
+    total = summary.agg(F.sum("n")).first()[0] or 0
+    return max(summary.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_FRAMES))
+
+
 def earlier_rates(summary: DataFrame, scope: str) -> DataFrame:
     """``_carry_rate, _carry_drate``: the last known rates before each (scope, block).
 

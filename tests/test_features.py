@@ -173,3 +173,18 @@ def test_feature_plan_shuffles(spark, packets):
     batch = extract_features(rows, "batch", "day_id")._jdf.queryExecution().executedPlan().toString()
     assert batch.count("events.parquet") == 1  # the stored block summary read them once before
     assert batch.count("day_id") and "SinglePartition" not in batch
+
+
+def test_a_task_holds_a_bounded_number_of_frames(spark, monkeypatch):
+    """More frames make more tasks, not larger ones, whatever the engine would join."""
+    from flowprism.operators import ordered
+    from flowprism.session import stored
+
+    monkeypatch.setattr(ordered, "TASK_FRAMES", 1 << 7)
+    frames = filter_ip_arp(packets_from_events(spark, spark.read.parquet(f"{SF}/events.parquet")))
+    frames = frames.unionByName(frames.withColumn("seq", F.col("seq") + 1000)).unionByName(frames.withColumn("seq", F.col("seq") + 2000))
+    summary = stored(ordered.block_summary(frames, "day_id", 5), "blocks")
+    out = running(frames, "day_id", ["scope", "flow"], block_bits=5, summary=summary)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == frames.count()
+    assert out.rdd.getNumPartitions() >= sum(sizes) / 128 and max(sizes) <= 6 * 128, sizes
