@@ -1,8 +1,12 @@
 """The keyed sweep gives what single runs give, point by point."""
 
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from flowprism import session
 from flowprism.operators import components, experiments, scaling
 
 TIMES = ("training_time", "test_time")
@@ -63,3 +67,64 @@ def test_edges_shrink_every_round(spark, monkeypatch, shape):
     roots = components.connected_components(nodes, pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))))
     assert {(r[0], r[1]) for r in roots.groupBy("root").count().collect()} == {(0, n)} | {(n + k, 1) for k in range(5)}
     assert sizes[-1] == 0 and len(sizes) < 45 and all(b < a for a, b in zip(sizes, sizes[1:]))
+
+
+def disk_files(spark):
+    """Shuffle files and other blocks on this machine's disk."""
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+
+def test_scratch_drops_what_it_wrote(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, files = spark.conf.get(setting), disk_files(spark)
+    with session.scratch(spark) as outer:
+        with session.scratch(spark) as keep:
+            inner = session.stored(spark.range(100).repartition(3))
+            durable = session.durable(spark.range(5))
+            kept = keep(inner.groupBy((F.col("id") % 7).alias("k")).count())
+            folders = [Path(frame.inputFiles()[0].removeprefix("file:")).parent for frame in (inner, durable)]
+            assert all(folder.exists() for folder in folders)
+        assert not any(folder.exists() for folder in folders)
+        assert kept.count() == 7
+        last = outer(kept, "last")
+    assert spark.conf.get(setting) == before and last.count() == 7
+    with pytest.raises(ZeroDivisionError), session.scratch(spark):
+        lost = Path(session.stored(spark.range(3)).inputFiles()[0].removeprefix("file:")).parent
+        raise ZeroDivisionError
+    assert not lost.exists() and spark.conf.get(setting) == before
+    # The files of a query's shuffles go soon after it.
+    until = time.time() + 20
+    while disk_files(spark) > files + 20 and time.time() < until:
+        time.sleep(0.5)
+    assert disk_files(spark) <= files + 20
+
+
+def test_slices_hold_every_point_once(monkeypatch):
+    grid = experiments.Grid([("supervised", [])], list("abcde"), list("vwxyz"), [5, 100], 10, 3)
+    for rows, most in ((1, 25), (experiments.SLICE // 105 // 11, 11), (experiments.SLICE // 105 // 3, 3), (experiments.SLICE, 1)):
+        slices = [(s, k) for s, many in experiments._slices(grid, rows) for k in many]
+        assert sorted((a, b) for s, k in slices for a in s for b in k) == sorted((a, b) for a in "abcde" for b in "vwxyz")
+        assert max(len(s) * len(k) for s, k in slices) <= most
+
+
+def test_slices_leave_no_tables_behind(spark, rows, monkeypatch):
+    """Each kernel a slice of its own: the same rows, one kernel's lists at a time, nothing left in the shared folder."""
+    session.ensure_checkpoint_dir(spark)
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    sizes, fit = [], experiments._fit
+
+    def counted(train, grid, kind, digits):
+        model = fit(train, grid, kind, digits)
+        sizes.append((list(grid.scalers), list(grid.kernels), model.lists.count()))
+        return model
+
+    monkeypatch.setattr(experiments, "_fit", counted)
+    options = {"kernels": ["rbf", "sigmoid"], "scalers": ["minmax"], "steps": [3], "outliers": False}
+    before = set(shared.iterdir())
+    whole = told(experiments.sweep(rows, [("supervised", [])], **options))
+    monkeypatch.setattr(experiments, "SLICE", 1)
+    sliced = told(experiments.sweep(rows, [("supervised", [])], **options))
+    assert {key: row.asDict() for key, row in sliced.items()} == {key: row.asDict() for key, row in whole.items()}
+    assert [s[:2] for s in sizes] == [(["minmax"], ["rbf", "sigmoid"]), (["minmax"], ["rbf"]), (["minmax"], ["sigmoid"])]
+    assert max(s[2] for s in sizes[1:]) < sizes[0][2] == sizes[1][2] + sizes[2][2]
+    assert set(shared.iterdir()) <= before
