@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from flowprism.functions.kernels import block_distances
 from flowprism.operators import baselines, kinn, metrics, threshold
 from flowprism.operators.components import connected_components
@@ -12,6 +13,7 @@ from flowprism.operators.numbering import exact_quantiles, number_rows
 from flowprism.operators.scaling import Scaler, fit_scaler, load_scaler, probit, save_scaler
 from flowprism.operators.split import stratified_split
 from flowprism.sources import tables
+from tests.conftest import SF
 
 
 def table(spark, x, classes=None):
@@ -336,6 +338,33 @@ def test_outliers_are_found_by_every_oneclass_model(spark):
         assert sum(pred[:20]) <= 6, name
 
 
+def test_every_baseline_tells_clear_classes_apart(spark):
+    rng = np.random.default_rng(29)
+    middles = np.array([[0.0, 9.0], [9.0, 0.0], [9.0, 9.0]])
+    classes = np.arange(90) % 3
+    train = table(spark, middles[classes] + rng.normal(0, 0.4, (90, 2)), classes).coalesce(1)
+    test = table(spark, middles[classes[:30]] + rng.normal(0, 0.4, (30, 2)), classes[:30]).withColumnRenamed("class", "truth").coalesce(1)
+    told = baselines.compare(train, test, scalers=("standard",)).collect()
+    assert [(r["scaler"], r["model"]) for r in told] == [("standard", name) for name in baselines.BASELINES]
+    assert all(r["acc"] > 90 and r["seconds"] > 0 for r in told), told
+
+
+def test_registered_comparison_has_every_model_and_scaler(spark, monkeypatch):
+    """The models are replaced by one that is quick: what counts is which ones are asked, and on which tables."""
+    asked = []
+
+    def first_class(train, test):
+        asked.append((train.count(), test.count()))
+        return test.select("id", F.lit(0).alias("pred"))
+
+    for name in baselines.BASELINES:
+        monkeypatch.setitem(baselines.BASELINES, name, first_class)
+    told = entry.queries()["baseline_compare"](spark, SF).collect()
+    scalers = ("standard", "minmax", "quantile_normal", "l2")
+    assert [(r["scaler"], r["model"]) for r in told] == [(s, m) for s in scalers for m in ("RandomForest", "LGBM", "SVM", "KNN")]
+    assert len(asked) == 16 and len(set(asked)) == 1 and sum(asked[0]) == 500
+
+
 def test_metrics_zero_division(spark):
     df = spark.createDataFrame([(0, 0), (1, 0)], "truth int, pred int")
     assert metrics.mcc(df).first()["mcc"] == 0.0
