@@ -403,6 +403,57 @@ def test_lots_visit_few_blocks_and_move_rows_a_bounded_number_of_times(spark, mo
     assert sum(compared) <= 0.2 * sum(len(rows) ** 2 for rows in cells), (sum(compared), [len(rows) for rows in cells])
 
 
+def test_small_blocks_are_compared_with_many_queries_at_once(spark, monkeypatch):
+    """A block of points meets its queries in one product, not in one per block of queries; the lists equal brute force."""
+    from flowprism.operators import neighbours as search
+
+    for name, value in (("LEAST_PIVOTS", 8), ("MAX_PIVOTS", 8)):
+        monkeypatch.setattr(search, name, value)
+    x = np.random.default_rng(37).normal(0, 1, (400, 12)).round(5)
+    rows = table(spark, x).withColumnRenamed("class", "grp").coalesce(1)
+    index = search.build_index(rows, "rbf", block_rows=8)
+    points = index.rows.toPandas()
+    d = np.round(block_distances(x, x, "rbf"), 6) + 0.0
+    np.fill_diagonal(d, np.inf)
+    points["cut"] = np.sort(d, axis=1)[points["id"].to_numpy(), 2]
+    blocks = len(points.groupby(["cell", "tile", "sub"]))
+    compared, products = [], search._products
+    monkeypatch.setattr(search, "_products", lambda a, b: compared.append(len(a)) or products(a, b))
+    found = search._lists(points, points, {"kernel": "rbf", "steps": 3, "levels": False, "same": True, "digits": 6}, index.pivots)
+    lists = {i: rows.sort_values(["d", "j"])["j"].tolist()[:3] for i, rows in found.groupby("i")}
+    assert lists == {i: [int(j) for j in np.lexsort((np.arange(len(x)), d[i]))[:3]] for i in range(len(x))}
+    assert blocks > 40 and len(compared) <= blocks, (blocks, len(compared))
+
+
+def test_units_at_home_share_groups(spark, monkeypatch):
+    """Some hundred block pairs are compared in a few calls of the function; the lists equal brute force."""
+    from flowprism.operators import neighbours as search
+
+    for name, value in (("LEAST_PIVOTS", 8), ("MAX_PIVOTS", 8)):
+        monkeypatch.setattr(search, name, value)
+    x = np.random.default_rng(41).normal(0, 1, (600, 6)).round(5)
+    rows = table(spark, x).withColumnRenamed("class", "grp").coalesce(1)
+    calls, compare = [], search._compare
+
+    def counted(queries, points, units, plan):
+        out = compare(queries, points, units, plan)
+        exchanged = [line for line in out._jdf.queryExecution().analyzed().toString().split("\n") if "FlatMapCoGroupsInPandas" in line]
+        calls.append((units.count(), exchanged))
+        return out
+
+    monkeypatch.setattr(search, "_compare", counted)
+    got = neighbours(rows, rows, 2, kernel="euclidean", levels=False, digits=6, block_rows=8).collect()
+    d = np.round(block_distances(x, x, "euclidean"), 6) + 0.0
+    np.fill_diagonal(d, np.inf)
+    lists = {}
+    for r in sorted(got, key=lambda r: (r["i"], r["pos"])):
+        lists.setdefault(r["i"], []).append(r["j"])
+    assert lists == {i: [int(j) for j in np.lexsort((np.arange(len(x)), d[i]))[:2]] for i in range(len(x))}
+    (units, (exchanged,)), = calls
+    # The key comes first.
+    assert units > 100 and "lists(some#" in exchanged, (units, exchanged)
+
+
 def test_short_lists_with_ties_and_undefined_distances():
     """Ties at the last step, many equal distances and NaN: as a full sort gives."""
     from flowprism.operators import neighbours as search
